@@ -1,0 +1 @@
+"""Operators: every one takes and returns DataFrames."""

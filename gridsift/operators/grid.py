@@ -62,12 +62,13 @@ def to_grid(
     header: bool = True,
     tokens: Sequence[str] = NULL_TOKENS,
     double_scale: int | None = None,
+    names: Sequence[str | None] | None = None,
 ) -> DataFrame:
     """A typed or text frame as grid rows.
 
     ``table_id`` is a constant name or a column (one table per distinct value).
     ``position`` must be a non-negative integer that orders the rows.  With
-    ``header`` the column names become the first row of every table.
+    ``header`` the column names (or ``names``) become the first row of every table.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     columns = list(columns or fields)
@@ -85,9 +86,9 @@ def to_grid(
     data = raw.select("table_id", "row_idx", F.array(*cells).alias("cells"), count_filled(cells).alias("filled"))
     if not header:
         return data
-    names = [None if c in tokens else c for c in columns]
+    names = [None if c in tokens else c for c in (names or columns)]
     if isinstance(table_id, str):
-        tables = df.sparkSession.range(1).select(F.lit(table_id).alias("table_id"))
+        tables = df.sparkSession.range(0, 1, 1, 1).select(F.lit(table_id).alias("table_id"))
     else:
         tables = df.select(name.alias("table_id")).distinct()
     top = tables.select(

@@ -1,0 +1 @@
+"""Inputs and outputs: file inventory, delimited text, workbooks, delivery, run log."""

@@ -1,0 +1 @@
+"""File streams and event-time operators on Structured Streaming."""
