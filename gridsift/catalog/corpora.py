@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsift.functions.text import NULL_TOKENS
-from gridsift.operators.grid import to_grid, union_tables
+from gridsift.operators.grid import GridSource, corpus_grid
 
 
 @dataclass(frozen=True)
@@ -133,23 +133,40 @@ def _typed(column: Column) -> str:
     return column.expr
 
 
-def grid_of(spark: SparkSession, sf_dir: str, sheets: tuple[Sheet, ...]) -> DataFrame:
-    """The corpus as one grid."""
-    grids = []
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small file out to all cores.
+
+    A small file is often a single row group, which one task must read; judging
+    cells costs far more than moving such a file.  Large inputs stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 1 << 20 <= size < cores * (16 << 20) else df
+
+
+def sources_of(spark: SparkSession, sf_dir: str, sheets: tuple[Sheet, ...]) -> list[GridSource]:
+    """The corpus as sources, which can be read column by column."""
+    sources = []
     for sheet in sheets:
-        frame = spark.read.parquet(f"{sf_dir}/{sheet.table}.parquet").select(
-            F.expr(sheet.table_id).alias("_table"),
-            F.expr(sheet.position).cast("long").alias("_position"),
-            *[F.expr(_typed(c)).alias(f"c{i}") for i, c in enumerate(sheet.columns)],
+        frame = spark.read.parquet(f"{sf_dir}/{sheet.table}.parquet")
+        frame = _spread(frame).selectExpr(
+            f"{sheet.table_id} AS _table",
+            f"CAST({sheet.position} AS BIGINT) AS _position",
+            *[f"{_typed(c)} AS c{i}" for i, c in enumerate(sheet.columns)],
         )
         name = sheet.table_id.strip("'") if sheet.table_id.startswith("'") else F.col("_table")
-        grids.append(to_grid(
+        sources.append(GridSource(
             frame, name, F.col("_position"),
-            columns=[f"c{i}" for i in range(len(sheet.columns))],
-            names=[c.header for c in sheet.columns],
+            columns=tuple(f"c{i}" for i in range(len(sheet.columns))),
+            names=tuple(c.header for c in sheet.columns),
             header=sheet.header, double_scale=2,
         ))
-    return union_tables(grids)
+    return sources
+
+
+def grid_of(spark: SparkSession, sf_dir: str, sheets: tuple[Sheet, ...]) -> DataFrame:
+    """The corpus as one grid."""
+    return corpus_grid(sources_of(spark, sf_dir, sheets))
 
 
 def _quoted(text: str) -> str:

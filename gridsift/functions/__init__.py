@@ -16,11 +16,11 @@ from gridsift.functions.text import (
     truncate,
 )
 from gridsift.functions.naming import file_stem, file_suffix, make_name, sanitize_name
-from gridsift.functions.numbers import format_date, format_g6, format_number
+from gridsift.functions.numbers import fixed, format_date, format_g6, format_number
 from gridsift.functions.timing import backoff
 
 __all__ = [
-    "backoff", "clean_text", "contains_any", "file_stem", "file_suffix", "format_date",
+    "backoff", "clean_text", "contains_any", "file_stem", "file_suffix", "fixed", "format_date",
     "format_g6", "format_number", "glob_to_regex", "is_alpha_label", "is_date",
     "is_digit_label", "is_header_word", "is_number", "make_name", "match_glob",
     "null_if_token", "number_of", "redact", "redact_entry", "sanitize_name", "strip",

@@ -44,6 +44,24 @@ def _six_digits(values: pd.Series) -> pd.Series:
     return values.map(lambda x: "" if pd.isna(x) else f"{x:g}")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A non-negative double with a fixed number of decimals, as C and Python print it.
+
+    ``format_string`` rounds the shortest decimal form half up; here the exact binary
+    value is rounded, half to even.  The value is split in two halves whose products
+    are exact, so that a near tie is told from a true one.
+    """
+    scale = 10**digits
+    guess = F.floor(value * scale + 0.5)
+    spread = value * 134217729.0
+    high = spread - (spread - value)
+    low = value - high
+    above = (high * (2 * scale) - (guess * 2 - 1)) + low * (2 * scale)
+    units = F.when((above > 0) | ((above == 0) & (guess % 2 == 0)), guess).otherwise(guess - 1)
+    whole = F.floor(units / scale).cast("string")
+    return F.concat(whole, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
+
+
 def format_g6(text: Column) -> Column:
     """Six significant digits (C ``%g``).  Lossy; offered for byte-compatible output.
 

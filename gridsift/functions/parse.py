@@ -11,16 +11,18 @@ _WS = r"[ \t\n\x0B\f\r]*"
 NUMBER_RE = "^" + _WS + r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?" + _WS + r"\z"
 
 # The spellings of a date that count, before the calendar check.
+# Years run from 1678 to 2261, the range of a 64-bit nanosecond clock.
+_YEAR = "(16(7[89]|[89][0-9])|1[789][0-9]{2}|2[01][0-9]{2}|22([0-5][0-9]|6[01]))"
+_CLOCK = r"([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?"
 DATE_RE = (
     "^" + _WS + "("
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?"
-    r"|[0-9]{8}|[0-9]{4}"
-    r"|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
-    r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-    r"|[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}"
-    ")" + _WS + r"\z"
+    + _YEAR + "("
+    "-[0-9]{2}-[0-9]{2}" + _CLOCK
+    + "|[0-9]{4}|/[0-9]{1,2}/[0-9]{1,2})?"
+    "|[0-9]{1,2}/[0-9]{1,2}/" + _YEAR
+    + "|[A-Za-z]{3} [0-9]{1,2}, " + _YEAR
+    + ")" + _WS + r"\z"
 )
-FIRST_YEAR, LAST_YEAR = 1678, 2261
 
 
 def number_of(text: Column) -> Column:
@@ -30,37 +32,43 @@ def number_of(text: Column) -> Column:
 
 
 def is_number(text: Column) -> Column:
-    """True or false, never null, so it can feed counts and ``when`` chains."""
-    return F.coalesce(number_of(text).isNotNull(), F.lit(False))
+    """True or false, never null, so it can feed counts and ``when`` chains.
+
+    Only a number with an exponent, or a very long one, can be too large for a
+    double; all others are settled by their spelling.
+    """
+    short = ~F.lower(text).contains("e") & (F.length(text) < 300)
+    finite = F.abs(text.try_cast("double")) < F.lit(float("inf"))
+    return F.when(text.rlike(NUMBER_RE), short | finite).otherwise(F.lit(False))
 
 
 def timestamp_of(text: Column) -> Column:
     """The value as a timestamp if it is one of the fixed date spellings, else null.
 
     Each value is judged on its own.  ``a/b/yyyy`` is month first, then day first.
+    Spellings are brought to the ISO form, which the plain cast reads fastest; the
+    cast also drops the whitespace the pattern allows.
     """
-    plain = F.translate(strip(text), "T", " ")
-    size = F.length(plain)
+    plain = strip(text)
 
-    def parse(pattern: str) -> Column:
-        return F.try_to_timestamp(plain, F.lit(pattern))
+    def piece(n: int) -> Column:
+        return F.split_part(plain, F.lit("/"), F.lit(n))
 
-    dashed = (
-        F.when(size == 10, parse("yyyy-MM-dd"))
-        .when(size == 16, parse("yyyy-MM-dd HH:mm"))
-        .when(size == 19, parse("yyyy-MM-dd HH:mm:ss"))
-        .otherwise(parse("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    month_first = F.concat_ws("-", piece(3), piece(1), piece(2)).try_cast("timestamp")
+    day_first = F.concat_ws("-", piece(3), piece(2), piece(1)).try_cast("timestamp")
+    slashed = F.when(plain.rlike("^[0-9]{4}/"), F.translate(plain, "/", "-").try_cast("timestamp")).otherwise(
+        F.coalesce(month_first, day_first)
+    )
+    digits = F.when(F.length(plain) == 4, plain).otherwise(
+        F.concat_ws("-", F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))
     )
     parsed = (
-        F.when(plain.contains("-"), dashed)
-        .when(size == 4, parse("yyyy"))
-        .when(F.substring(plain, 5, 1) == "/", parse("yyyy/M/d"))
-        .when(plain.contains("/"), F.coalesce(parse("M/d/yyyy"), parse("d/M/yyyy")))
-        .when(plain.contains(","), parse("MMM d, yyyy"))
-        .otherwise(parse("yyyyMMdd"))
+        F.when(text.contains("-"), text.try_cast("timestamp"))
+        .when(text.contains("/"), slashed)
+        .when(text.contains(","), F.try_to_timestamp(plain, F.lit("MMM d, yyyy")))
+        .otherwise(digits.try_cast("timestamp"))
     )
-    value = F.when(text.rlike(DATE_RE), parsed)
-    return F.when(F.year(value).between(FIRST_YEAR, LAST_YEAR), value)
+    return F.when(text.rlike(DATE_RE), parsed)
 
 
 def is_date(text: Column) -> Column:

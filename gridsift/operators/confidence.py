@@ -7,34 +7,52 @@ the first rows of each table.  Rows are never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsift.functions import fixed
 from gridsift.operators.consistency import score_columns, table_consistency
 from gridsift.operators.density import density_score
+from gridsift.operators.grid import GridSource, corpus_grid, head_rows
 from gridsift.operators.headers import best_header_row, header_cells, header_quality, header_rows
 from gridsift.operators.profile import column_profile, is_dense, table_profile
 from gridsift.session import materialize
 from gridsift.settings import ScoreSettings
 
 
+TOP_ROWS = 20
+
+
 @dataclass(frozen=True)
 class Profile:
-    """A grid with its column and table profiles, computed once."""
+    """A grid with its column and table profiles and its first rows, computed once."""
 
     grid: DataFrame
     columns: DataFrame
     tables: DataFrame
     dense: bool
+    sources: tuple[GridSource, ...] = ()
+
+    @cached_property
+    def top(self) -> DataFrame:
+        """The first rows of every table, ranked."""
+        return materialize(head_rows(self.grid, TOP_ROWS, self.dense))
 
 
-def profile(grid: DataFrame) -> Profile:
-    """Run the profile pass and keep its small result."""
-    columns = materialize(column_profile(grid))
+def profile(grid: DataFrame | Sequence[GridSource]) -> Profile:
+    """Run the profile pass and keep its small result.
+
+    Given sources instead of a grid, later passes scan only the columns they need.
+    """
+    sources = () if isinstance(grid, DataFrame) else tuple(grid)
+    frame = corpus_grid(sources) if sources else grid
+    columns = materialize(column_profile(frame))
     tables = table_profile(columns)
-    return Profile(grid, columns, tables, is_dense(tables))
+    return Profile(frame, columns, tables, is_dense(tables), sources)
 
 
 def gate_reason(settings: ScoreSettings, rows: Column, columns: Column) -> Column:
@@ -61,7 +79,7 @@ def gate(tables: DataFrame, settings: ScoreSettings = ScoreSettings()) -> DataFr
 
 
 def confidence(
-    grid: DataFrame | Profile,
+    grid: DataFrame | Profile | Sequence[GridSource],
     settings: ScoreSettings = ScoreSettings(),
     listed: DataFrame | None = None,
 ) -> DataFrame:
@@ -79,8 +97,8 @@ def confidence(
     passed = checked.where(F.col("gate_reason").isNull()).select("table_id")
     columns = known.columns.join(passed, "table_id", "left_semi")
 
-    headers = header_quality(best_header_row(header_rows(header_cells(known.grid, columns, known.dense))))
-    scores = table_consistency(score_columns(known.grid, columns))
+    headers = header_quality(best_header_row(header_rows(header_cells(known.grid, columns, known.top))))
+    scores = table_consistency(score_columns(known.grid, columns, known.sources))
     density = density_score(known.tables, settings.max_empty)
 
     frame = (
@@ -135,7 +153,7 @@ def summary_text(scores: DataFrame) -> DataFrame:
     """A readable report per table."""
 
     def line(label: str, name: str) -> Column:
-        return F.concat(F.lit(label), F.format_string("%.3f", F.col(name)))
+        return F.concat(F.lit(label), fixed(F.col(name), 3))
 
     listed = F.when(
         F.size("reasons") > 0,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsift.functions import fixed
 from gridsift.operators.density import _deviation
+from gridsift.operators.grid import GridSource
 from gridsift.operators.profile import distinct_counts
 
 
@@ -66,9 +70,11 @@ def column_consistency(columns: DataFrame) -> DataFrame:
     return scored.withColumn("column_score", score)
 
 
-def score_columns(grid: DataFrame, columns: DataFrame) -> DataFrame:
+def score_columns(
+    grid: DataFrame, columns: DataFrame, sources: Sequence[GridSource] = ()
+) -> DataFrame:
     """Column scores straight from a grid and its column profile."""
-    counts = distinct_counts(grid, needs_distinct(columns))
+    counts = distinct_counts(grid, needs_distinct(columns), sources)
     return column_consistency(columns.join(counts, ["table_id", "col_idx"], "left"))
 
 
@@ -87,7 +93,7 @@ def table_consistency(scored: DataFrame) -> DataFrame:
         F.when(good > 0.8, F.least(F.lit(1.0), mean + 0.1)).when(good > 0.6, mean).otherwise(mean * 0.8)
     )
     grade = F.when(good > 0.8, "High").when(good > 0.6, "Moderate").otherwise("Low")
-    reason = F.concat(grade, F.lit(" consistency across "), F.format_string("%.1f%%", good * 100), F.lit(" of columns"))
+    reason = F.concat(grade, F.lit(" consistency across "), fixed(good * 100, 1), F.lit("% of columns"))
     return frame.select(
         "table_id",
         "columns_scored",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsift.functions import fixed
+
 
 def _deviation(total: Column, squares: Column, count: Column) -> Column:
     """Sample standard deviation from sums; null for a single value."""
@@ -50,7 +52,7 @@ def density_score(tables: DataFrame, max_empty: float = 0.3) -> DataFrame:
     )
 
     def told(text: str, value: Column) -> Column:
-        return F.concat(F.lit(text), F.format_string("%.3f", value))
+        return F.concat(F.lit(text), fixed(value, 3))
 
     reasons = F.array(
         F.when(sparse, told("Low data density: ", density)),

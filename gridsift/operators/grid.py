@@ -12,7 +12,9 @@ this one schema, so a corpus is a plain union.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Collection, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +24,11 @@ from pyspark.sql import types as T
 from gridsift.functions import null_if_token
 from gridsift.functions.text import NULL_TOKENS
 from gridsift.plans import join_small
+from gridsift.session import materialize
 
 GRID_SCHEMA = "table_id string, row_idx bigint, cells array<string>, filled int"
 HEADER_POSITION = 0
+FEW_TABLES = 64
 
 
 def count_filled(cells: Sequence[Column]) -> Column:
@@ -54,50 +58,103 @@ def scan_raw(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS, double_scale: i
     ])
 
 
+@dataclass(frozen=True)
+class GridSource:
+    """A wide frame to be read as grid rows, whole or only some of its columns.
+
+    ``table_id`` is a constant name or a column (one table per distinct value).
+    ``position`` must be a non-negative integer that orders the rows.  With
+    ``header`` the column names (or ``names``) become the first row of every table.
+    """
+
+    df: DataFrame
+    table_id: str | Column
+    position: str | Column
+    columns: tuple[str, ...] = ()
+    header: bool = True
+    tokens: tuple[str, ...] = NULL_TOKENS
+    double_scale: int | None = None
+    names: tuple[str | None, ...] = ()
+
+    def grid(self, keep: Collection[int] | None = None) -> DataFrame:
+        """Grid rows.  Columns not in ``keep`` stay in place but empty, and are not scanned."""
+        fields = {f.name: f.dataType for f in self.df.schema.fields}
+        columns = self.columns or tuple(fields)
+        name = F.lit(self.table_id) if isinstance(self.table_id, str) else self.table_id
+        place = F.expr(self.position) if isinstance(self.position, str) else self.position
+        kept = range(len(columns)) if keep is None else sorted(keep)
+        texts = self.df.select(
+            name.alias("table_id"),
+            (place.cast("long") + (1 if self.header else 0)).alias("row_idx"),
+            *[cell_text(F.col(f"`{columns[i]}`"), fields[columns[i]], self.double_scale).alias(f"c{i}") for i in kept],
+        )
+        listed = ", ".join("'" + t.replace("'", "\\'") + "'" for t in self.tokens)
+        raw = texts.selectExpr(
+            "table_id", "row_idx",
+            *[f"CASE WHEN c{i} IN ({listed}) THEN NULL ELSE c{i} END AS c{i}" if listed else f"c{i}" for i in kept],
+        )
+        cells = ", ".join(f"c{i}" if i in set(kept) else "CAST(NULL AS STRING)" for i in range(len(columns)))
+        filled = " + ".join(f"CAST(c{i} IS NOT NULL AS INT)" for i in kept) or "0"
+        data = raw.selectExpr("table_id", "row_idx", f"array({cells}) AS cells", f"{filled} AS filled")
+        return data.unionByName(self._header_row(columns, kept)) if self.header else data
+
+    def _header_row(self, columns: Sequence[str], kept: Collection[int]) -> DataFrame:
+        kept = set(kept)
+        names = [
+            n if i in kept and n not in self.tokens else None for i, n in enumerate(self.names or columns)
+        ]
+        if isinstance(self.table_id, str):
+            tables = self.df.sparkSession.range(0, 1, 1, 1).select(F.lit(self.table_id).alias("table_id"))
+        else:
+            tables = self.df.select(self.table_id.alias("table_id")).distinct()
+        return tables.select(
+            "table_id",
+            F.lit(HEADER_POSITION).cast("long").alias("row_idx"),
+            F.array(*[F.lit(n).cast("string") for n in names]).alias("cells"),
+            F.lit(sum(n is not None for n in names)).alias("filled"),
+        )
+
+
 def to_grid(
     df: DataFrame,
     table_id: str | Column,
     position: str | Column,
-    columns: Sequence[str] | None = None,
+    columns: Sequence[str] = (),
     header: bool = True,
     tokens: Sequence[str] = NULL_TOKENS,
     double_scale: int | None = None,
-    names: Sequence[str | None] | None = None,
+    names: Sequence[str | None] = (),
 ) -> DataFrame:
-    """A typed or text frame as grid rows.
+    """A typed or text frame as grid rows; see ``GridSource``."""
+    source = GridSource(
+        df, table_id, position, tuple(columns), header, tuple(tokens), double_scale, tuple(names)
+    )
+    return source.grid()
 
-    ``table_id`` is a constant name or a column (one table per distinct value).
-    ``position`` must be a non-negative integer that orders the rows.  With
-    ``header`` the column names (or ``names``) become the first row of every table.
+
+def corpus_grid(sources: Sequence[GridSource]) -> DataFrame:
+    """All sources as one grid."""
+    return union_tables([source.grid() for source in sources])
+
+
+def narrow_grid(sources: Sequence[GridSource], wanted: DataFrame) -> DataFrame | None:
+    """The corpus with only the columns some table wants (``table_id, col_idx``) scanned.
+
+    The choice is made per source, from at most one row per named table and
+    column, plus one per column for sources that hold many tables.
     """
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    columns = list(columns or fields)
-    name = F.lit(table_id) if isinstance(table_id, str) else table_id
-    place = F.expr(position) if isinstance(position, str) else position
-    raw = df.select(
-        name.alias("table_id"),
-        (place.cast("long") + (1 if header else 0)).alias("row_idx"),
-        *[
-            null_if_token(cell_text(F.col(f"`{c}`"), fields[c], double_scale), tokens).alias(f"_c{i}")
-            for i, c in enumerate(columns)
-        ],
-    )
-    cells = [F.col(f"_c{i}") for i in range(len(columns))]
-    data = raw.select("table_id", "row_idx", F.array(*cells).alias("cells"), count_filled(cells).alias("filled"))
-    if not header:
-        return data
-    names = [None if c in tokens else c for c in (names or columns)]
-    if isinstance(table_id, str):
-        tables = df.sparkSession.range(0, 1, 1, 1).select(F.lit(table_id).alias("table_id"))
-    else:
-        tables = df.select(name.alias("table_id")).distinct()
-    top = tables.select(
-        "table_id",
-        F.lit(HEADER_POSITION).cast("long").alias("row_idx"),
-        F.array(*[F.lit(n).cast("string") for n in names]).alias("cells"),
-        F.lit(sum(n is not None for n in names)).alias("filled"),
-    )
-    return data.unionByName(top)
+    named = [s.table_id for s in sources if isinstance(s.table_id, str)]
+    label = F.when(F.col("table_id").isin(named), F.col("table_id")) if named else F.lit(None).cast("string")
+    chosen: dict[str | None, set[int]] = {}
+    for row in wanted.select(label.alias("source"), "col_idx").distinct().collect():
+        chosen.setdefault(row["source"], set()).add(row["col_idx"])
+    grids = []
+    for source in sources:
+        keep = chosen.get(source.table_id if isinstance(source.table_id, str) else None, set())
+        keep = {i for i in keep if i < len(source.columns or source.df.columns)}
+        if keep:
+            grids.append(source.grid(keep))
+    return union_tables(grids) if grids else None
 
 
 def as_grid(df: DataFrame) -> DataFrame:
@@ -174,6 +231,20 @@ def head_positions(grid: DataFrame, k: int) -> DataFrame:
     return kept.groupBy("table_id").agg(F.max("row_idx").alias("last_position"))
 
 
+def _cut_literal(cut: DataFrame) -> tuple[Column, bool]:
+    """A row filter without a join, and whether it is exact.
+
+    For a few tables it is a constant lookup, for many the largest position of
+    all.  Either is pushed below the making of cells, so other rows cost nothing.
+    """
+    few = cut.limit(FEW_TABLES + 1).collect()
+    if len(few) <= FEW_TABLES:
+        known = json.dumps({r["table_id"]: r["last_position"] for r in few}, ensure_ascii=False)
+        return F.col("row_idx") <= F.from_json(F.lit(known), "map<string,bigint>")[F.col("table_id")], True
+    largest = cut.agg(F.max("last_position").alias("largest")).first()["largest"]
+    return F.col("row_idx") <= F.lit(largest), False
+
+
 def head_rows(grid: DataFrame, k: int, dense: bool = False) -> DataFrame:
     """The first k rows of every table with their 0-based ``rank``.
 
@@ -183,9 +254,12 @@ def head_rows(grid: DataFrame, k: int, dense: bool = False) -> DataFrame:
     if dense:
         near = grid.where(F.col("row_idx") < k)
     else:
-        cut = head_positions(grid, k)
-        near = join_small(grid, cut, ["table_id"]).where(F.col("row_idx") <= F.col("last_position"))
-        near = near.drop("last_position")
+        cut = materialize(head_positions(grid, k))
+        literal, exact = _cut_literal(cut)
+        near = grid.where(literal)
+        if not exact:
+            near = join_small(near, cut, ["table_id"]).where(F.col("row_idx") <= F.col("last_position"))
+            near = near.drop("last_position")
     place = Window.partitionBy("table_id").orderBy("row_idx", "_tie")
     ranked = near.withColumn("_tie", _tie()).withColumn("rank", F.row_number().over(place) - 1)
     return ranked.drop("_tie")

@@ -17,7 +17,6 @@ from gridsift.functions import (
     is_number,
     strip,
 )
-from gridsift.operators.grid import head_rows
 from gridsift.operators.profile import first_values
 
 CANDIDATE_ROWS = 5
@@ -46,17 +45,18 @@ def _data_bonus(name: Column, below: Column) -> Column:
     )
 
 
-def header_cells(grid: DataFrame, columns: DataFrame, dense: bool = False) -> DataFrame:
+def header_cells(grid: DataFrame, columns: DataFrame, top: DataFrame) -> DataFrame:
     """Score of every cell of the first five rows as a column header.
 
+    ``top`` holds at least the first five rows of every table (``head_rows``).
     Returns ``table_id, rank, col_idx, name, tenths, good``.
     """
-    values = first_values(grid, CANDIDATE_ROWS + BELOW, columns, dense)
+    values = first_values(grid, CANDIDATE_ROWS + BELOW, columns, top)
     early = values.groupBy("table_id", "col_idx").agg(
         F.sort_array(F.collect_list(F.struct("nth", "rank", "value"))).alias("_early")
     )
-    top = head_rows(grid, CANDIDATE_ROWS, dense).where(F.col("rank") < CANDIDATE_ROWS)
-    cells = top.select("table_id", "rank", F.posexplode("cells").alias("col_idx", "value"))
+    first = top.where(F.col("rank") < CANDIDATE_ROWS)
+    cells = first.select("table_id", "rank", F.posexplode("cells").alias("col_idx", "value"))
     cells = cells.join(early, ["table_id", "col_idx"], "left")
 
     name = F.coalesce(strip(F.col("value")), F.lit(""))
@@ -144,9 +144,9 @@ def header_names(cells: DataFrame, quality: DataFrame) -> DataFrame:
     )
 
 
-def _first_two(grid: DataFrame, dense: bool) -> DataFrame:
+def _first_two(top: DataFrame) -> DataFrame:
     """Cells of the first and second row side by side."""
-    top = head_rows(grid, 2, dense).where(F.col("rank") < 2)
+    top = top.where(F.col("rank") < 2)
     pick = [F.max(F.when(F.col("rank") == i, F.col("cells"))).alias(f"row{i}") for i in (0, 1)]
     return top.groupBy("table_id").agg(*pick)
 
@@ -159,13 +159,13 @@ def _is_text(value: Column) -> Column:
     return value.isNotNull() & (strip(value) != "")
 
 
-def first_row_is_header(grid: DataFrame, dense: bool = False) -> DataFrame:
+def first_row_is_header(top: DataFrame) -> DataFrame:
     """Header rule used for delivery.
 
     More than 60% text in the first row; else more than 30% of the columns go
     from text in the first row to digits in the second.
     """
-    two = _first_two(grid, dense)
+    two = _first_two(top)
     pairs = F.when(
         F.col("row1").isNotNull(),
         F.zip_with("row0", "row1", lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
@@ -183,9 +183,9 @@ def first_row_is_header(grid: DataFrame, dense: bool = False) -> DataFrame:
     )
 
 
-def has_headers_simple(grid: DataFrame, dense: bool = False) -> DataFrame:
+def has_headers_simple(top: DataFrame) -> DataFrame:
     """At least half text in the first row, and fewer texts in the second."""
-    two = _first_two(grid, dense)
+    two = _first_two(top)
 
     def texts(row: str) -> Column:
         return F.size(F.filter(row, _is_text))

@@ -6,11 +6,13 @@ per column of every table and is small, so callers compute it once and keep it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsift.functions import is_date, is_number, strip
-from gridsift.operators.grid import head_rows, to_cells
+from gridsift.operators.grid import GridSource, head_rows, narrow_grid, to_cells
 from gridsift.plans import join_small
 from gridsift.session import materialize
 
@@ -112,12 +114,20 @@ def value_key(value: Column) -> Column:
     return F.when(F.length(value) <= 64, value).otherwise(F.concat(F.lit("#"), F.sha2(value, 256)))
 
 
-def distinct_counts(grid: DataFrame, wanted: DataFrame) -> DataFrame:
+def distinct_counts(
+    grid: DataFrame, wanted: DataFrame, sources: Sequence[GridSource] = ()
+) -> DataFrame:
     """Exact number of distinct values of the wanted ``(table_id, col_idx)`` columns.
 
     Only cells of wanted columns are shuffled, once per distinct value and task,
-    and long texts travel as digests.
+    and long texts travel as digests.  With ``sources`` only those columns are
+    scanned.
     """
+    if sources:
+        wanted = materialize(wanted)
+        grid = narrow_grid(sources, wanted)
+        if grid is None:
+            return wanted.select("table_id", "col_idx", F.lit(0).cast("long").alias("distinct_values"))
     needed = wanted.groupBy("table_id").agg(F.collect_set("col_idx").alias("_wanted"))
     cells = _wanted_cells(grid, needed)
     keys = cells.select("table_id", "col_idx", value_key(F.col("value")).alias("_key")).distinct()
@@ -143,26 +153,21 @@ def is_dense(tables: DataFrame) -> bool:
     return tables.where(F.col("last_position") + 1 != F.col("rows")).isEmpty()
 
 
-def first_values(
-    grid: DataFrame, k: int, columns: DataFrame, dense: bool = False, near: int | None = None
-) -> DataFrame:
+def first_values(grid: DataFrame, k: int, columns: DataFrame, top: DataFrame) -> DataFrame:
     """The first k non-null values of every column.
 
-    Looks at the first ``near`` rows of each table.  Only columns that have more
-    values but not k of them up there are searched in the whole table.
+    ``top`` holds the first rows of each table (``head_rows``).  Only columns that
+    have more values but not k of them up there are searched in the whole table.
     Returns ``table_id, col_idx, nth (1-based), rank, value``; ``rank`` is the row
-    number for rows near the top and a large number beyond.
+    number for rows of ``top`` and a large number beyond.
     """
-    near = near or max(4 * k, 32)
-    top = head_rows(grid, near, dense)
     cells = top.select(
         "table_id", "row_idx", "rank", F.posexplode("cells").alias("col_idx", "value")
     ).where(F.col("value").isNotNull())
     by_rank = Window.partitionBy("table_id", "col_idx").orderBy("rank", "row_idx", "value")
     found = cells.withColumn("nth", F.row_number().over(by_rank)).where(F.col("nth") <= k)
     found = found.select("table_id", "col_idx", "nth", "rank", "row_idx", "value")
-    found = materialize(found)
-    counts = found.groupBy("table_id", "col_idx").agg(F.count(F.lit(1)).alias("_found"))
+    counts = cells.groupBy("table_id", "col_idx").agg(F.count(F.lit(1)).alias("_found"))
     short = (
         columns.select("table_id", "col_idx", "n")
         .join(counts, ["table_id", "col_idx"], "left")
@@ -173,8 +178,7 @@ def first_values(
     if short.isEmpty():
         return found.drop("row_idx")
     cut = top.groupBy("table_id").agg(F.max("row_idx").alias("_cut"))
-    short = short.join(cut, "table_id")
-    rest = join_small(grid.select("table_id", "row_idx", "cells"), short, ["table_id"])
+    rest = join_small(grid.select("table_id", "row_idx", "cells"), short.join(cut, "table_id"), ["table_id"])
     rest = rest.where(F.col("row_idx") > F.col("_cut"))
     rest = rest.select(
         "table_id", "row_idx", "_wanted", F.posexplode("cells").alias("col_idx", "value"),
@@ -195,7 +199,8 @@ def first_values(
 
 def detect_types(grid: DataFrame, columns: DataFrame, dense: bool = False) -> DataFrame:
     """Per column: numeric, date or text, by its first 100 values; empty columns have no type."""
-    sample = first_values(grid, TYPE_SAMPLE, columns, dense)
+    top = materialize(head_rows(grid, 2 * TYPE_SAMPLE, dense))
+    sample = first_values(grid, TYPE_SAMPLE, columns, top)
     judged = sample.groupBy("table_id", "col_idx").agg(
         F.bool_and(is_number(F.col("value"))).alias("_all_numbers"),
         F.bool_and(is_date(F.col("value"))).alias("_all_dates"),
@@ -229,9 +234,9 @@ def column_types(types: DataFrame) -> DataFrame:
     return types.groupBy("table_id").agg(F.map_from_entries(entries).alias("column_types"))
 
 
-def potential_header(grid: DataFrame, dense: bool = False) -> DataFrame:
+def potential_header(top: DataFrame) -> DataFrame:
     """Share of text in the first row, and whether that makes it a header (> 0.5)."""
-    top = head_rows(grid, 1, dense).where(F.col("rank") == 0)
+    top = top.where(F.col("rank") == 0)
     texts = F.size(F.filter("cells", lambda c: c.isNotNull() & (strip(c) != "")))
     share = texts / F.size("cells")
     return top.select(
