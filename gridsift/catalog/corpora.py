@@ -133,7 +133,7 @@ def _typed(column: Column) -> str:
     return column.expr
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, key: str) -> DataFrame:
     """Deal the rows of a small file out to all cores.
 
     A small file is often a single row group, which one task must read; judging
@@ -141,7 +141,7 @@ def _spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if 1 << 20 <= size < cores * (16 << 20) else df
+    return df.repartition(cores, F.expr(key)) if 1 << 20 <= size < cores * (16 << 20) else df
 
 
 def sources_of(spark: SparkSession, sf_dir: str, sheets: tuple[Sheet, ...]) -> list[GridSource]:
@@ -149,7 +149,7 @@ def sources_of(spark: SparkSession, sf_dir: str, sheets: tuple[Sheet, ...]) -> l
     sources = []
     for sheet in sheets:
         frame = spark.read.parquet(f"{sf_dir}/{sheet.table}.parquet")
-        frame = _spread(frame).selectExpr(
+        frame = _spread(frame, sheet.position).selectExpr(
             f"{sheet.table_id} AS _table",
             f"CAST({sheet.position} AS BIGINT) AS _position",
             *[f"{_typed(c)} AS c{i}" for i, c in enumerate(sheet.columns)],

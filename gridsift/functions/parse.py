@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridsift.functions.text import strip
 
 _WS = r"[ \t\n\x0B\f\r]*"
-NUMBER_RE = "^" + _WS + r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?" + _WS + r"\z"
+NUMBER_RE = "^" + _WS + r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?" + _WS + r"\z"
 
 # The spellings of a date that count, before the calendar check.
 # Years run from 1678 to 2261, the range of a 64-bit nanosecond clock.

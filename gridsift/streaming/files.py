@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from gridsift.functions import backoff, match_glob
-from gridsift.plans import join_small
 from gridsift.session import materialize
 from gridsift.settings import RetrySettings, WatchSettings
 from gridsift.sources.files import MEGABYTE, file_name
@@ -190,10 +189,3 @@ def run_available(writer: DataStreamWriter) -> None:
     """Process what has arrived, then stop; the checkpoint keeps the place."""
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-
-
-def unprocessed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Batch form of the change ledger."""
-    last = ledger.groupBy("path").agg(F.max("mtime").alias("_last"))
-    joined = join_small(files, last, ["path"], "left")
-    return joined.where(F.col("_last").isNull() | (F.col("mtime") > F.col("_last"))).drop("_last")
