@@ -279,3 +279,41 @@ def target_names(spark, sf_dir):
     """The naming pattern applied to every worksheet."""
     tables = C.profile(sources_of(spark, sf_dir, DIRTY)).tables
     return V.target_names(tables.select("table_id"), F.lit("book"), F.col("table_id"))
+
+
+@query("""
+WITH outcomes AS (
+  SELECT DISTINCT '/in/' || (o_custkey % 7) || '/' || o_orderpriority || '.xlsx' AS source,
+    '/in/' || (o_custkey % 7) || '/archive/' || o_orderpriority AS stem FROM orders WHERE o_orderstatus <> 'P'
+), existing AS (
+  SELECT DISTINCT '/in/' || (o_custkey % 7) || '/archive/' || o_orderpriority || '.xlsx' AS name
+  FROM orders WHERE o_totalprice > 400000
+)
+SELECT source, CASE WHEN name IS NULL THEN stem || '.xlsx' ELSE stem || '_20240131.xlsx' END AS archive_path
+FROM outcomes LEFT JOIN existing ON name = stem || '.xlsx'""")
+def archive_plan(spark, sf_dir):
+    """Archive places of consumed inputs; names taken there get a time stamp."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    folder = F.concat(F.lit("/in/"), (F.col("o_custkey") % 7).cast("string"), F.lit("/"))
+    outcomes = orders.select(
+        F.concat(folder, F.col("o_orderpriority"), F.lit(".xlsx")).alias("source"),
+        (F.col("o_orderstatus") != "P").alias("success"),
+    ).groupBy("source").agg(F.bool_or("success").alias("success"))
+    existing = orders.where("o_totalprice > 400000").select(
+        F.concat(folder, F.lit("archive/"), F.col("o_orderpriority"), F.lit(".xlsx")).alias("name")
+    ).distinct()
+    return V.archive_plan(outcomes, existing, "20240131").select("source", "archive_path")
+
+
+@query(Q.with_corpus(CLEANED, *_LINE_PARTS, query=f"""
+SELECT output_name, line FROM ({_LINES}) UNION ALL
+SELECT replace(output_name, '.csv', '_20240131.csv'), line FROM ({_LINES})""").replace(
+    "table_id || '.csv'", "'book_' || regexp_replace(table_id, '[^\\p{L}\\p{N}._\\- ]', '', 'g') || '.csv'"))
+def deliver(spark, sf_dir):
+    """Two delivery runs into one folder: the second keeps the files of the first."""
+    known = C.profile(sources_of(spark, sf_dir, CLEANED))
+    scores, path = C.confidence(known), scratch(spark, "deliver")
+    for _ in range(2):
+        W.deliver(known, scores, path, "20240131", F.lit("book"), F.col("table_id"))
+    lines = spark.read.option("basePath", path).schema("value string, output_name string").text(path)
+    return lines.select("output_name", F.col("value").alias("line"))

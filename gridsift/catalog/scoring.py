@@ -243,3 +243,20 @@ SELECT table_id FROM judged WHERE NOT (overall BETWEEN 0 AND 1 AND density_score
 def scores_out_of_range(spark, sf_dir):
     """Invariant: no score leaves [0, 1]."""
     return C.out_of_range(C.confidence(sources_of(spark, sf_dir, DIRTY))).select("table_id")
+
+
+@query(Q.with_corpus(DIRTY, *Q.ALL_PARTS, query="""
+SELECT j.table_id, j.nrows AS "rows", j.ncols AS "columns", round(d.density, 6) AS density, round(overall, 6) AS overall,
+  CASE WHEN round(overall, 12) >= 7e-1 THEN 'ACCEPT' ELSE 'REJECT' END AS decision,
+  array_to_string(reasons[1:3], ' / ') AS reasons,
+  CASE WHEN round(overall, 12) >= 7e-1 THEN (
+    SELECT string_agg(array_to_string(list_transform(cells, lambda c: coalesce(c, '~')), '|'), chr(10) ORDER BY rank)
+    FROM grid g WHERE g.table_id = j.table_id AND g.rank < 5) END AS preview
+FROM judged j JOIN dense d USING (table_id)"""))
+def preview_report(spark, sf_dir):
+    """The dry run: decision, reasons, and the first rows of accepted worksheets."""
+    known = _known(spark, sf_dir)
+    report = C.preview_report(known, C.confidence(known), 10)
+    text = F.array_join(F.transform("preview", lambda r: F.array_join(r, "|", "~")), "\n")
+    report = report.withColumn("reasons", F.array_join("reasons", " / ")).withColumn("preview", text)
+    return _rounded(report, "density", "overall")

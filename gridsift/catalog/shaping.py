@@ -229,13 +229,23 @@ def size_estimate(spark, sf_dir):
     return P.estimate_size(profile(sources_of(spark, sf_dir, SHEETS)).tables)
 
 
-@query(Q.with_corpus(DIRTY, Q.TABLES, query="""
-SELECT regexp_extract(table_id, '^[a-z]+') AS source, CAST(sum(nrows) AS BIGINT) AS total_rows,
-  CAST(sum(ncols) AS BIGINT) AS total_columns, count(*) AS tables, count(*) FILTER (WHERE rows_any > 0) AS tables_with_data,
-  round(CAST(count(*) FILTER (WHERE rows_any > 0) AS DOUBLE) / count(*), 6) AS success_rate
-FROM tabs GROUP BY 1"""))
+_SPENT = "CASE event_type WHEN 'view' THEN 'customer' WHEN 'click' THEN 'orders' WHEN 'error' THEN 'part' ELSE 'events' END"
+
+
+@query(Q.with_corpus(DIRTY, Q.TABLES, query=f"""
+SELECT t.source, total_rows, total_columns, tables, tables_with_data, success_rate,
+  round(coalesce(total_rows / spent * 1000, 0e0), 4) AS rows_per_second
+FROM (
+  SELECT regexp_extract(table_id, '^[a-z]+') AS source, CAST(sum(nrows) AS BIGINT) AS total_rows,
+    CAST(sum(ncols) AS BIGINT) AS total_columns, count(*) AS tables, count(*) FILTER (WHERE rows_any > 0) AS tables_with_data,
+    round(CAST(count(*) FILTER (WHERE rows_any > 0) AS DOUBLE) / count(*), 6) AS success_rate
+  FROM tabs GROUP BY 1
+) t LEFT JOIN (SELECT {_SPENT} AS source, sum(value) AS spent FROM events GROUP BY 1) e ON e.source = t.source"""))
 def run_totals(spark, sf_dir):
-    """Rows, columns and worksheets per source."""
+    """Rows, columns, worksheets and speed per source."""
     tables = profile(sources_of(spark, sf_dir, DIRTY)).tables
-    totals = P.run_totals(tables, F.regexp_extract("table_id", "^[a-z]+", 0))
-    return totals.withColumn("success_rate", F.round("success_rate", 6))
+    spent = _table(spark, sf_dir, "events").select(F.expr(_SPENT).alias("source"), F.col("value").alias("duration_ms"))
+    totals = P.run_totals(tables, F.regexp_extract("table_id", "^[a-z]+", 0), durations=spent)
+    return totals.withColumn("success_rate", F.round("success_rate", 6)).withColumn(
+        "rows_per_second", F.round("rows_per_second", 4)
+    )

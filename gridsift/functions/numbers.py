@@ -17,12 +17,12 @@ CANONICAL_RE = r"^-?(0|[1-9][0-9]*)(\.[0-9]*[1-9])?\z"
 
 def _plain_decimal(text: Column) -> Column:
     """Drop a plus sign and the zeros that carry no value; no digit is lost."""
-    settled = text.rlike(CANONICAL_RE)
     out = F.regexp_replace(text, r"^\+", "")
     out = F.regexp_replace(out, r"^(-?)0+(?=[0-9])", "$1")
     out = F.regexp_replace(out, r"^(-?)\.", "$10.")
-    out = F.when(out.contains("."), F.regexp_replace(out, r"\.?0*\z", "")).otherwise(out)
-    return F.when(settled, text).otherwise(out)
+    out = F.regexp_replace(out, r"(\.[0-9]*?)0+\z", "$1")
+    out = F.regexp_replace(out, r"\.\z", "")
+    return F.when(text.rlike(CANONICAL_RE), text).otherwise(out)
 
 
 def format_number(text: Column) -> Column:

@@ -149,6 +149,27 @@ def top_reasons(scores: DataFrame, n: int = 3) -> DataFrame:
     return scores.select("table_id", F.slice("reasons", 1, n).alias("reasons"))
 
 
+def preview_report(known: Profile, scores: DataFrame, rows: int = 10) -> DataFrame:
+    """What a dry run shows per table: size, density, decision, first reasons.
+
+    Accepted tables also show their first rows, at most five.
+    """
+    shown = min(rows, 5)
+    lines = known.top.where(F.col("rank") < shown).groupBy("table_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "cells"))), lambda r: r["cells"]).alias("_rows")
+    )
+    density = known.tables.select("table_id", (F.col("filled") / (F.col("rows") * F.col("columns"))).alias("density"))
+    frame = scores.join(density, "table_id", "left").join(lines, "table_id", "left")
+    return frame.select(
+        "table_id", "rows", "columns",
+        F.coalesce("density", F.lit(0.0)).alias("density"),
+        "overall",
+        F.when(F.col("accepted"), "ACCEPT").otherwise("REJECT").alias("decision"),
+        F.slice("reasons", 1, 3).alias("reasons"),
+        F.when(F.col("accepted"), F.col("_rows")).alias("preview"),
+    )
+
+
 def summary_text(scores: DataFrame) -> DataFrame:
     """A readable report per table."""
 

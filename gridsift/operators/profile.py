@@ -252,10 +252,14 @@ def estimate_size(tables: DataFrame) -> DataFrame:
     return tables.select("table_id", size.alias("estimated_bytes"))
 
 
-def run_totals(tables: DataFrame, source: Column, listed: DataFrame | None = None) -> DataFrame:
+def run_totals(
+    tables: DataFrame, source: Column, listed: DataFrame | None = None, durations: DataFrame | None = None
+) -> DataFrame:
     """Totals per source: rows, columns, tables, and share of listed tables that had data.
 
     ``listed`` names every table the source claims to hold (``source, table_id``).
+    ``durations`` gives the time spent per source (``source, duration_ms``) and adds
+    the rows read per second, 0 where no time is known.
     """
     totals = tables.withColumn("source", source).groupBy("source").agg(
         F.sum("rows").alias("total_rows"),
@@ -267,7 +271,7 @@ def run_totals(tables: DataFrame, source: Column, listed: DataFrame | None = Non
         claims = listed.groupBy("source").agg(F.count(F.lit(1)).alias("_listed"))
         totals = claims.join(totals, "source", "left").drop("_tables").withColumnRenamed("_listed", "_tables")
     found = F.coalesce("tables_with_data", F.lit(0))
-    return totals.select(
+    out = totals.select(
         "source",
         F.coalesce("total_rows", F.lit(0)).alias("total_rows"),
         F.coalesce("total_columns", F.lit(0)).alias("total_columns"),
@@ -275,3 +279,8 @@ def run_totals(tables: DataFrame, source: Column, listed: DataFrame | None = Non
         found.alias("tables_with_data"),
         (found / F.col("_tables")).alias("success_rate"),
     )
+    if durations is None:
+        return out
+    spent = durations.groupBy("source").agg(F.sum("duration_ms").alias("_ms"))
+    rate = F.col("total_rows") / F.nullif(F.col("_ms"), F.lit(0.0)) * 1000
+    return out.join(spent, "source", "left").withColumn("rows_per_second", F.coalesce(rate, F.lit(0.0))).drop("_ms")

@@ -37,6 +37,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in the file system its path names."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location))
+
+
 def local_session(cpus: int | str = "*", name: str = "gridsift") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     parts = os.environ.get("GRIDSIFT_SHUFFLE_PARTITIONS", "8")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from gridsift.functions import backoff, match_glob
-from gridsift.session import materialize
+from gridsift.session import materialize, path_exists
 from gridsift.settings import RetrySettings, WatchSettings
 from gridsift.sources.files import MEGABYTE, file_name
 
@@ -63,16 +63,10 @@ def stream_rows(
     return reader.load(folder)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(files.exists(location))
-
-
 def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """Rows written by earlier batches; ``batch_id`` comes from the folder names."""
     full = schema + ", batch_id bigint"
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], full)
     rows = spark.read.schema(full).option("recursiveFileLookup", False).parquet(path)
     return rows if before is None else rows.where(F.col("batch_id") < before)
