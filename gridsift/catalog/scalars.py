@@ -8,7 +8,7 @@ from gridsift import functions as X
 from gridsift.catalog import query
 from gridsift.catalog import sql as Q
 from gridsift.catalog.corpora import DIRTY, SHEETS, grid_of
-from gridsift.operators.grid import to_cells
+from gridsift.operators.grid import preview, to_cells
 
 # Whole texts next to number and date cells of every spelling.
 VALUES = tuple(s for s in DIRTY if s.table in ("supplier", "orders")) + tuple(
@@ -90,8 +90,6 @@ SELECT table_id, row_idx, col_idx, {Q.alpha('value')} AS alpha, {Q.digits('value
   {Q.header_word('value')} AS header_word FROM cells WHERE value IS NOT NULL AND rank < 5"""))
 def label_tests(spark, sf_dir):
     """Label tests on the first rows of every worksheet."""
-    from gridsift.operators.grid import preview
-
     value = F.col("value")
     cells = to_cells(preview(grid_of(spark, sf_dir, SHEETS + DIRTY), 5), keep_empty=False)
     return cells.select(

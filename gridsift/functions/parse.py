@@ -37,7 +37,7 @@ def is_number(text: Column) -> Column:
     Only a number with an exponent, or a very long one, can be too large for a
     double; all others are settled by their spelling.
     """
-    short = ~F.lower(text).contains("e") & (F.length(text) < 300)
+    short = ~text.contains("e") & ~text.contains("E") & (F.length(text) < 300)
     finite = F.abs(text.try_cast("double")) < F.lit(float("inf"))
     return F.when(text.rlike(NUMBER_RE), short | finite).otherwise(F.lit(False))
 
@@ -49,24 +49,15 @@ def timestamp_of(text: Column) -> Column:
     Spellings are brought to the ISO form, which the plain cast reads fastest; the
     cast also drops the whitespace the pattern allows.
     """
-    plain = strip(text)
-
-    def piece(n: int) -> Column:
-        return F.split_part(plain, F.lit("/"), F.lit(n))
-
-    month_first = F.concat_ws("-", piece(3), piece(1), piece(2)).try_cast("timestamp")
-    day_first = F.concat_ws("-", piece(3), piece(2), piece(1)).try_cast("timestamp")
-    slashed = F.when(plain.rlike("^[0-9]{4}/"), F.translate(plain, "/", "-").try_cast("timestamp")).otherwise(
-        F.coalesce(month_first, day_first)
-    )
-    digits = F.when(F.length(plain) == 4, plain).otherwise(
-        F.concat_ws("-", F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))
-    )
+    slashed = r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
+    packed = r"([0-9]{4})([0-9]{2})([0-9]{2})"
+    month_first = F.regexp_replace(text, slashed, "$3-$1-$2")
+    iso = F.translate(F.regexp_replace(month_first, packed, "$1-$2-$3"), "/", "-")
+    day_first = F.regexp_replace(text, slashed, "$3-$2-$1")
     parsed = (
         F.when(text.contains("-"), text.try_cast("timestamp"))
-        .when(text.contains("/"), slashed)
-        .when(text.contains(","), F.try_to_timestamp(plain, F.lit("MMM d, yyyy")))
-        .otherwise(digits.try_cast("timestamp"))
+        .when(text.contains(","), F.try_to_timestamp(strip(text), F.lit("MMM d, yyyy")))
+        .otherwise(F.coalesce(iso.try_cast("timestamp"), day_first.try_cast("timestamp")))
     )
     return F.when(text.rlike(DATE_RE), parsed)
 

@@ -91,13 +91,25 @@ class GridSource:
         listed = ", ".join("'" + t.replace("'", "\\'") + "'" for t in self.tokens)
         raw = texts.selectExpr(
             "table_id", "row_idx",
-            *[f"CASE WHEN c{i} IN ({listed}) THEN NULL ELSE c{i} END AS c{i}" if listed else f"c{i}" for i in kept],
+            *[
+                f"CASE WHEN c{i} IN ({listed}) THEN NULL ELSE c{i} END AS c{i}"
+                if listed and self._may_be_empty(fields[columns[i]]) else f"c{i}"
+                for i in kept
+            ],
         )
         cells = ", ".join(f"c{i}" if i in set(kept) else "CAST(NULL AS STRING)" for i in range(len(columns)))
         filled = " + ".join(f"CAST(c{i} IS NOT NULL AS INT)" for i in kept) or "0"
         data = raw.selectExpr("table_id", "row_idx", f"array({cells}) AS cells", f"{filled} AS filled")
         return data.unionByName(self._header_row(columns, kept)) if self.header else data
 
+    def _may_be_empty(self, kind: T.DataType) -> bool:
+        """Whether a value of this type can read like an empty marker."""
+        plain = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+        scaled = isinstance(kind, T.DecimalType) or (
+            self.double_scale is not None and isinstance(kind, (T.DoubleType, T.FloatType))
+        )
+        return self.tokens != NULL_TOKENS or not (scaled or isinstance(kind, plain))
+
     def _header_row(self, columns: Sequence[str], kept: Collection[int]) -> DataFrame:
         kept = set(kept)
         names = [
@@ -170,7 +182,8 @@ def union_tables(grids: Sequence[DataFrame]) -> DataFrame:
 
 def to_cells(grid: DataFrame, keep_empty: bool = True) -> DataFrame:
     """Long form: ``table_id, row_idx, col_idx, value``."""
-    cells = grid.select("table_id", "row_idx", F.posexplode("cells").alias("col_idx", "value"))
+    cells = grid.select("table_id", "row_idx", F.posexplode_outer("cells").alias("col_idx", "value"))
+    cells = cells.where(F.col("col_idx").isNotNull())
     return cells if keep_empty else cells.where(F.col("value").isNotNull())
 
 

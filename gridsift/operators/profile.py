@@ -29,10 +29,11 @@ def column_profile(grid: DataFrame) -> DataFrame:
     Grouped by ``(table_id, col_idx)`` with map-side partial sums: each task emits
     one row per column it saw, whatever the table sizes are.
     """
-    cells = grid.select(
-        "table_id", "row_idx", "filled", F.size("cells").alias("width"),
-        F.posexplode("cells").alias("col_idx", "value"),
-    )
+    # The outer form: the plain one adds a filter that builds every cell twice.
+    rows = grid.select("table_id", "row_idx", "filled", F.size("cells").alias("width"), "cells")
+    cells = rows.select(
+        "table_id", "row_idx", "filled", "width", F.posexplode_outer("cells").alias("col_idx", "value")
+    ).where(F.col("col_idx").isNotNull())
     value, filled = F.col("value"), F.col("filled")
     first = F.col("col_idx") == 0
     size = F.length(value)
@@ -136,7 +137,7 @@ def distinct_counts(
 
 def _wanted_cells(grid: DataFrame, needed: DataFrame) -> DataFrame:
     joined = join_small(grid.select("table_id", "cells"), needed, ["table_id"])
-    cells = joined.select("table_id", "_wanted", F.posexplode("cells").alias("col_idx", "value"))
+    cells = joined.select("table_id", "_wanted", F.posexplode_outer("cells").alias("col_idx", "value"))
     return cells.where(F.col("value").isNotNull() & F.array_contains("_wanted", F.col("col_idx")))
 
 
@@ -162,7 +163,7 @@ def first_values(grid: DataFrame, k: int, columns: DataFrame, top: DataFrame) ->
     number for rows of ``top`` and a large number beyond.
     """
     cells = top.select(
-        "table_id", "row_idx", "rank", F.posexplode("cells").alias("col_idx", "value")
+        "table_id", "row_idx", "rank", F.posexplode_outer("cells").alias("col_idx", "value")
     ).where(F.col("value").isNotNull())
     by_rank = Window.partitionBy("table_id", "col_idx").orderBy("rank", "row_idx", "value")
     found = cells.withColumn("nth", F.row_number().over(by_rank)).where(F.col("nth") <= k)
@@ -181,7 +182,7 @@ def first_values(grid: DataFrame, k: int, columns: DataFrame, top: DataFrame) ->
     rest = join_small(grid.select("table_id", "row_idx", "cells"), short.join(cut, "table_id"), ["table_id"])
     rest = rest.where(F.col("row_idx") > F.col("_cut"))
     rest = rest.select(
-        "table_id", "row_idx", "_wanted", F.posexplode("cells").alias("col_idx", "value"),
+        "table_id", "row_idx", "_wanted", F.posexplode_outer("cells").alias("col_idx", "value"),
         F.pmod(F.spark_partition_id(), F.lit(256)).alias("_salt"),
     ).where(F.col("value").isNotNull() & F.array_contains("_wanted", F.col("col_idx")))
     salted = Window.partitionBy("table_id", "col_idx", "_salt").orderBy("row_idx", "value")

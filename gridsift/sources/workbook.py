@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from gridsift.functions import match_glob
 from gridsift.functions.text import NULL_TOKENS
 from gridsift.operators.grid import as_grid
+from gridsift.plans import join_small
 from gridsift.settings import WatchSettings
 from gridsift.sources.files import MEGABYTE, file_name
 
@@ -194,7 +195,10 @@ def _frame(records: list[dict]) -> pd.DataFrame:
 
 
 def parse_workbooks(files: DataFrame) -> DataFrame:
-    """Records of binary files (``path, content``): sheet facts, rows and errors."""
+    """Records of binary files (``path, content``): sheet facts, rows and errors.
+
+    Spark bounds the bytes of an Arrow batch, so a task holds a few files at a time.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[dict] = []
@@ -233,8 +237,6 @@ def workbook_grid(records: DataFrame) -> DataFrame:
         _table_id(), "row_idx", "cells"
     )
     broken = workbook_errors(records).where(F.col("sheet_name").isNotNull()).select("table_id").distinct()
-    from gridsift.plans import join_small
-
     return as_grid(join_small(rows, broken, ["table_id"], "left_anti"))
 
 

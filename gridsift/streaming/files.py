@@ -7,6 +7,7 @@ batch that is replayed after a crash replaces its own output and nothing else.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from gridsift.functions import backoff, match_glob
+from gridsift.functions import backoff, file_stem, match_glob
+from gridsift.operators.confidence import confidence, profile
 from gridsift.session import materialize, path_exists
-from gridsift.settings import RetrySettings, WatchSettings
+from gridsift.settings import OutputSettings, RetrySettings, ScoreSettings, WatchSettings
 from gridsift.sources.files import MEGABYTE, file_name
+from gridsift.sources.writers import deliver
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -82,22 +85,31 @@ def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, in
 
 
 def judge_batches(
-    to_grid: Callable[[DataFrame], DataFrame], scores_path: str, deliver_path: str | None = None
+    to_grid: Callable[[DataFrame], DataFrame],
+    scores_path: str,
+    deliver_path: str | None = None,
+    settings: ScoreSettings = ScoreSettings(),
+    output: OutputSettings = OutputSettings(),
 ) -> Callable[[DataFrame, int], None]:
-    """Callback that judges, cleans and delivers the tables of each micro-batch."""
-    from gridsift.functions import sanitize_name
-    from gridsift.operators.clean import clean_tables
-    from gridsift.operators.confidence import accepted, confidence, profile
-    from gridsift.sources.writers import delivery_lines, write_tables
+    """Callback that judges, cleans and delivers the tables of each micro-batch.
+
+    Tables named ``path#sheet`` are delivered as ``file_sheet.csv``, others under their
+    own name.  Each batch has its own folder, so names are settled within the batch
+    and a replay writes the same files again.
+    """
+    again = replace(output, include_timestamp=False)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         # The batch is read by several passes: keep it, files may be archived meanwhile.
         known = profile(materialize(to_grid(batch)))
-        scores = materialize(confidence(known))
+        scores = materialize(confidence(known, settings))
         if deliver_path is not None:
-            rows, headers = clean_tables(known)
-            names = accepted(scores).select("table_id", sanitize_name(F.col("table_id")).alias("output_name"))
-            write_tables(delivery_lines(rows, headers, names), f"{deliver_path}/batch_id={batch_id}")
+            table = F.col("table_id")
+            source = F.when(table.contains("#"), file_stem(file_name(F.substring_index(table, "#", 1))))
+            deliver(
+                known, scores, f"{deliver_path}/batch_id={batch_id}", str(batch_id),
+                F.coalesce(source, F.lit("")), F.substring_index(table, "#", -1), again,
+            )
         write_batch(scores, scores_path, batch_id)
 
     return work

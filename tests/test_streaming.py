@@ -39,7 +39,7 @@ def test_workbooks_are_judged_delivered_and_archived(spark, tmp_path):
     (inbox / "note.txt").write_text("x")
     first = run()
     assert {(r["table_id"].split("#")[1], r["accepted"]) for r in first.collect()} == {("Data", True), ("Tiny", False)}
-    delivered = next((tmp_path / "out" / "batch_id=0").glob("output_name=*Data.csv"))
+    delivered = next((tmp_path / "out" / "batch_id=0").glob("output_name=one_Data.csv"))
     text = "".join(p.read_text() for p in sorted(delivered.glob("part-*")))
     assert text.splitlines()[:2] == ['"ID","Name","Amount"', '"1","n1","10"']
 
