@@ -125,3 +125,39 @@ def test_settings_are_checked():
         ScoreSettings(density_weight=0.5)
     with pytest.raises(ValueError):
         ScoreSettings(threshold=1.5)
+
+
+def test_large_sides_take_the_shuffled_path(make_grid, monkeypatch):
+    """With nothing small enough to broadcast or to list, all results stay the same."""
+    from gridsift.operators import clean as N
+    from gridsift.operators import grid as G
+    from gridsift.plans import joins
+
+    tables = _random_tables(40)
+    gapped = make_grid(tables).withColumn("row_idx", F.col("row_idx") * 3).repartition(6)
+    want = sorted(map(str, C.confidence(gapped).collect()))
+    rows = sorted(map(str, N.clean_tables(gapped)[0].collect()))
+    monkeypatch.setattr(joins, "measured_bytes", lambda df: 1 << 60)
+    monkeypatch.setattr(G, "FEW_TABLES", 0)
+    assert sorted(map(str, C.confidence(gapped).collect())) == want
+    assert sorted(map(str, N.clean_tables(gapped)[0].collect())) == rows
+
+
+def test_one_huge_table_among_small_ones(spark, make_grid):
+    """A table with nearly all rows is judged like any other, from many partitions."""
+    big = spark.range(60000).repartition(12).selectExpr(
+        "'huge' AS table_id", "id + 1 AS row_idx",
+        "array(string(id), concat('n', id % 7), if(id % 5 = 0, null, '2024-01-0' || (id % 9 + 1))) AS cells",
+    )
+    from gridsift.operators.grid import as_grid
+
+    head = make_grid({"huge": [["id", "name", "date"]]})
+    small = make_grid({"gap": GAP_NOTE})
+    rows = {r["table_id"]: r for r in C.confidence(as_grid(big).unionByName(head).unionByName(small)).collect()}
+    cells = [["id", "name", "date"]] + [
+        [str(i), f"n{i % 7}", None if i % 5 == 0 else f"2024-01-0{i % 9 + 1}"] for i in range(60000)
+    ]
+    want = judge(cells)
+    assert rows["huge"]["rows"] == 60001
+    assert rows["huge"]["overall"] == pytest.approx(want["overall"], abs=1e-9)
+    assert round(rows["gap"]["overall"], 4) == 0.8494
