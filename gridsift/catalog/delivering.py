@@ -161,25 +161,23 @@ FROM unique_cols JOIN accepted USING (table_id) GROUP BY table_id"""
 _LINE_PARTS = (*Q.ALL_PARTS, _ACCEPTED, TWO, NAMES, KINDS, CLEAN)
 
 
-def _lines(spark, sf_dir):
+def _accepted(spark, sf_dir):
     known = C.profile(sources_of(spark, sf_dir, CLEANED))
     passed = C.accepted(C.confidence(known))
-    names = passed.select("table_id", sanitize_name(F.col("table_id")).alias("output_name"))
-    rows, headers = N.clean_tables(known)
-    return W.delivery_lines(rows, headers, names)
+    return known, passed.select("table_id", sanitize_name(F.col("table_id")).alias("output_name"))
 
 
 @query(Q.with_corpus(CLEANED, *_LINE_PARTS, query=_LINES))
 def delivery_lines(spark, sf_dir):
     """Judge, clean and render: the delivered lines of all accepted worksheets."""
-    return _lines(spark, sf_dir)
+    return W.delivery_lines(*_accepted(spark, sf_dir))
 
 
 @query(Q.with_corpus(CLEANED, *_LINE_PARTS, query=f"SELECT output_name, line FROM ({_LINES})"))
 def write_tables(spark, sf_dir):
     """The delivered files, written and read back."""
     path = scratch(spark, "tables")
-    W.write_tables(_lines(spark, sf_dir), path)
+    W.write_tables(*_accepted(spark, sf_dir), path)
     lines = spark.read.option("basePath", path).schema("value string, output_name string").text(path)
     return lines.select("output_name", F.col("value").alias("line"))
 
