@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridsift.llm import exact_dedup, mixing
+from gridsift.llm import exact_dedup, minhash, mixing, token_files, warc
+from gridsift.llm.shared import new_folder
 
 QUERIES, SQL = {}, {}
 
@@ -13,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where the installed vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(sql: str | None = None):
     def add(run):
         QUERIES[run.__name__] = run
@@ -23,6 +31,13 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_token_files(spark, sf_dir):
+    folder = new_folder(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer("word_bpe_49k.json"))
+    return token_files.token_table(spark, folder)
+
+
 @query("""
 WITH d AS (SELECT doc_id, coalesce(source IS NULL, false) AS none, coalesce(source, '') AS name,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
@@ -44,6 +59,34 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query(r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS gs FROM w),
+s AS (SELECT doc_id, unnest(gs) AS shingle FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN g gx ON gx.doc_id = x JOIN g gy ON gy.doc_id = y WHERE 100 * shared >= 75 * (len(gx.gs) + len(gy.gs) - shared)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT x AS a, x AS b FROM l UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+c AS (SELECT a, min(b) AS component FROM r GROUP BY a)
+SELECT g.doc_id, len(gs) AS n_shingles, coalesce(component, g.doc_id) AS component_id, coalesce(component, g.doc_id) = g.doc_id AS kept FROM g LEFT JOIN c ON c.a = g.doc_id""")
+def op3_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY hex) AS first,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first <> page_id THEN first END AS refers_to, true AS intact FROM f""")
+def op4_warc_archives(spark, sf_dir):
+    folder = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.record_table(warc.read_chunks(spark, folder, with_data=False))
+
+
 @query("""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
 h AS (SELECT doc_id, sha256(norm) AS text_sha256, length(t) AS n FROM d),
