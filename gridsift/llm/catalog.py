@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridsift.llm import exact_dedup, minhash, mixing, token_files, warc
+from gridsift.llm import exact_dedup, language, minhash, mixing, pieces, quality_gam, quality_rules, secrets, token_files, warc
 from gridsift.llm.shared import new_folder
 
 QUERIES, SQL = {}, {}
@@ -87,6 +87,22 @@ def op4_warc_archives(spark, sf_dir):
     return warc.record_table(warc.read_chunks(spark, folder, with_data=False))
 
 
+@query()
+def op5_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op6_secret_scan(spark, sf_dir):
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_quality_scores(spark, sf_dir):
+    return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
 h AS (SELECT doc_id, sha256(norm) AS text_sha256, length(t) AS n FROM d),
@@ -94,3 +110,14 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DE
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""")
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_sampled_pieces(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
+
+
+@query()
+def op10_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.languages(docs, language.train(docs))
