@@ -85,8 +85,13 @@ def shallow_tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
 
 
 def shallow_pair_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A cut on the first feature, then one on the second on either side."""
-    _, cut = best_cut(g.sum(axis=1), h.sum(axis=1))
+    """A cut on the first feature and then one on the second on either side, the best of all together."""
+
+    def worth(rows: slice) -> float:
+        own_g, own_h = g[rows].sum(axis=0), h[rows].sum(axis=0)
+        return best_cut(own_g, own_h)[0] + own_g.sum() ** 2 / (own_h.sum() + RIDGE)
+
+    cut = max(range(len(g)), key=lambda k: (worth(slice(0, k)) if k else 0.0) + worth(slice(k, len(g))))
     out = np.empty(g.shape)
     for rows in (slice(0, cut), slice(cut, len(g))):
         if g[rows].size:
