@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsift.functions.text import NULL_TOKENS
 from gridsift.operators.grid import GridSource, corpus_grid
 
 
@@ -133,23 +132,12 @@ def _typed(column: Column) -> str:
     return column.expr
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a small file out to all cores.
-
-    A small file is often a single row group, which one task must read; judging
-    cells costs far more than moving such a file.  Large inputs stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, F.expr(key)) if 1 << 20 <= size < cores * (16 << 20) else df
-
-
 def sources_of(spark: SparkSession, sf_dir: str, sheets: tuple[Sheet, ...]) -> list[GridSource]:
     """The corpus as sources, which can be read column by column."""
     sources = []
     for sheet in sheets:
         frame = spark.read.parquet(f"{sf_dir}/{sheet.table}.parquet")
-        frame = _spread(frame, sheet.position).selectExpr(
+        frame = frame.selectExpr(
             f"{sheet.table_id} AS _table",
             f"CAST({sheet.position} AS BIGINT) AS _position",
             *[f"{_typed(c)} AS c{i}" for i, c in enumerate(sheet.columns)],
@@ -173,7 +161,12 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-TOKENS_SQL = "(" + ", ".join(_quoted(t) for t in NULL_TOKENS) + ")"
+# Cell texts that stand for "no value", stated for the SQL forms on their own.
+NO_VALUE = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
+TOKENS_SQL = "(" + ", ".join(_quoted(t) for t in NO_VALUE) + ")"
 
 
 def _cell_sql(column: Column) -> str:
@@ -201,7 +194,7 @@ def grid_sql(sheets: tuple[Sheet, ...]) -> str:
         )
         if sheet.header:
             names = ", ".join(
-                "CAST(NULL AS VARCHAR)" if c.header in NULL_TOKENS else _quoted(c.header) for c in sheet.columns
+                "CAST(NULL AS VARCHAR)" if c.header in NO_VALUE else _quoted(c.header) for c in sheet.columns
             )
             parts.append(f"SELECT DISTINCT {sheet.table_id}, CAST(0 AS BIGINT), [{names}] FROM {sheet.table}")
     union = "\n  UNION ALL ".join(parts)

@@ -17,6 +17,7 @@ from gridsift.operators import clean as N
 from gridsift.operators import confidence as C
 from gridsift.operators import delivery as V
 from gridsift.operators import ledger as L
+from gridsift.plans import number_within
 from gridsift.session import checkpoint_dir
 from gridsift.settings import OutputSettings
 from gridsift.sources import writers as W
@@ -84,13 +85,10 @@ SELECT cast(t as varchar) AS table_id, col_idx, name, CASE WHEN nth = 0 THEN nam
 FROM again""")
 def unique_names(spark, sf_dir):
     """Wide tables full of repeated names, some of which look like made ones."""
-    from pyspark.sql import Window
-
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    names = customer.select(
+    names = number_within(customer.select("c_nationkey", "c_custkey", "c_mktsegment"), ["c_nationkey"], ["c_custkey"], "place").select(
         F.col("c_nationkey").cast("string").alias("table_id"),
-        place.cast("int").alias("col_idx"),
+        (F.col("place") - 1).cast("int").alias("col_idx"),
         F.expr("lower(left(c_mktsegment, 1)) || CASE WHEN c_custkey % 4 = 0 THEN '_' || (c_custkey % 3) ELSE '' END").alias("name"),
     )
     return N.unique_names(names)
@@ -251,11 +249,10 @@ asked AS (
   SELECT p_partkey, target, regexp_replace(target, '\\.csv$', '') AS stem,
     row_number() OVER (PARTITION BY target ORDER BY p_partkey) AS request FROM targets
 ),
-steps AS (SELECT unnest(range(0, 1001)) AS step),
 made AS (
   SELECT target, step, CASE WHEN step = 0 THEN target WHEN step = 1 THEN stem || '_20240131.csv'
-    ELSE stem || '_20240131_' || lpad((step - 1)::VARCHAR, 3, '0') || '.csv' END AS name
-  FROM (SELECT DISTINCT target, stem FROM asked), steps
+    ELSE stem || '_20240131_' || printf('%03d', step - 1) || '.csv' END AS name
+  FROM (SELECT target, stem, unnest(range(0, max(request) + 10)) AS step FROM asked GROUP BY ALL)
 ),
 free AS (
   SELECT target, name, row_number() OVER (PARTITION BY target ORDER BY step) AS request
@@ -271,6 +268,19 @@ def output_names(spark, sf_dir):
     return named.select("p_partkey", "target", "output_name", "conflict_error")
 
 
+@query("""
+SELECT o_orderkey, target, CASE request WHEN 1 THEN target WHEN 2 THEN o_orderstatus || '_20240131.csv'
+  ELSE o_orderstatus || '_20240131_' || printf('%03d', request - 2) || '.csv' END AS output_name
+FROM (SELECT o_orderkey, o_orderstatus, o_orderstatus || '.csv' AS target,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS request FROM orders)""")
+def output_names_crowded(spark, sf_dir):
+    """Three names that a third of all rows want each: every one gets a name of its own."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    targets = orders.select("o_orderkey", F.concat("o_orderstatus", F.lit(".csv")).alias("target"))
+    named = V.resolve_output_names(targets, spark.createDataFrame([], "name string"), "20240131", ["o_orderkey"])
+    return named.select("o_orderkey", "target", "output_name")
+
+
 @query(Q.with_corpus(DIRTY, Q.TABLES, query="""
 SELECT table_id, 'book_' || regexp_replace(table_id, '[^\\p{L}\\p{N}._\\- ]', '', 'g') || '.csv' AS target FROM tabs"""))
 def target_names(spark, sf_dir):

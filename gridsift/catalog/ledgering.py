@@ -72,6 +72,12 @@ def error_breakdown(spark, sf_dir):
     return L.error_breakdown(_ops(spark, sf_dir))
 
 
+@query("WITH " + OPS_SQL + """
+SELECT operation_name, coalesce(error_type, 'Unknown') AS error_type, count(*) AS errors FROM ops WHERE NOT success GROUP BY 1, 2""")
+def error_breakdown_by_operation(spark, sf_dir):
+    return L.error_breakdown(_ops(spark, sf_dir), by_operation=True)
+
+
 @query("WITH " + OPS_SQL + """,
 counts AS (SELECT coalesce(error_type, 'Unknown') AS error_type, count(*) AS errors FROM ops WHERE NOT success GROUP BY 1)
 SELECT string_agg(error_type || '=' || errors, ',' ORDER BY error_type) AS error_breakdown FROM counts""")

@@ -8,14 +8,12 @@ from gridsift import functions as X
 from gridsift.catalog import query
 from gridsift.catalog import sql as Q
 from gridsift.catalog.corpora import DIRTY, SHEETS, grid_of
-from gridsift.operators.grid import preview, to_cells
+from gridsift.operators.grid import to_cells
 
 # Whole texts next to number and date cells of every spelling.
 VALUES = tuple(s for s in DIRTY if s.table in ("supplier", "orders")) + tuple(
     s for s in SHEETS if s.table in ("documents", "supplier")
 )
-# The same without long texts, where the result repeats the cell.
-SHORT = VALUES[:2] + VALUES[3:]
 
 
 def _cells(spark, sf_dir, sheets=VALUES):
@@ -31,7 +29,7 @@ def parse_numbers(spark, sf_dir):
 @query(Q.with_corpus(VALUES, query=f"""
 SELECT table_id, row_idx, col_idx, epoch_us({Q.timestamp('value')}) AS at_us FROM cells WHERE value IS NOT NULL"""))
 def parse_dates(spark, sf_dir):
-    at = F.unix_micros(X.timestamp_of(F.col("value")))
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), X.timestamp_of(F.col("value")))
     return _cells(spark, sf_dir).select("table_id", "row_idx", "col_idx", at.alias("at_us"))
 
 
@@ -52,47 +50,46 @@ def format_number_sql(v: str) -> str:
     )
 
 
-@query(Q.with_corpus(SHORT, query=f"""
+@query(Q.with_corpus(VALUES, query=f"""
 SELECT table_id, row_idx, col_idx, {format_number_sql('value')} AS written FROM cells WHERE value IS NOT NULL"""))
 def format_numbers(spark, sf_dir):
     """Lossless plain form of every number."""
     written = X.format_number(F.col("value")).alias("written")
-    return _cells(spark, sf_dir, SHORT).select("table_id", "row_idx", "col_idx", written)
+    return _cells(spark, sf_dir).select("table_id", "row_idx", "col_idx", written)
 
 
-@query(Q.with_corpus(SHORT, query=f"""
+@query(Q.with_corpus(VALUES, query=f"""
 SELECT table_id, row_idx, col_idx, coalesce(printf('%g', {Q.number('value')}), '') AS written
 FROM cells WHERE value IS NOT NULL"""))
 def format_numbers_g6(spark, sf_dir):
     """Six significant digits."""
     written = X.format_g6(F.col("value")).alias("written")
-    return _cells(spark, sf_dir, SHORT).select("table_id", "row_idx", "col_idx", written)
+    return _cells(spark, sf_dir).select("table_id", "row_idx", "col_idx", written)
 
 
-@query(Q.with_corpus(SHORT, query=f"""
+@query(Q.with_corpus(VALUES, query=f"""
 SELECT table_id, row_idx, col_idx, coalesce(strftime({Q.timestamp('value')}, '%Y-%m-%d %H:%M:%S'), '') AS written
 FROM cells WHERE value IS NOT NULL"""))
 def format_dates(spark, sf_dir):
     written = X.format_date(F.col("value")).alias("written")
-    return _cells(spark, sf_dir, SHORT).select("table_id", "row_idx", "col_idx", written)
+    return _cells(spark, sf_dir).select("table_id", "row_idx", "col_idx", written)
 
 
-@query(Q.with_corpus(SHORT, query=f"""
+@query(Q.with_corpus(VALUES, query=f"""
 SELECT table_id, row_idx, col_idx, CASE WHEN {Q.strip('value')} = 'nan' THEN '' ELSE {Q.strip('value')} END AS cleaned
 FROM cells WHERE value IS NOT NULL"""))
 def clean_text(spark, sf_dir):
     cleaned = X.clean_text(F.col("value")).alias("cleaned")
-    return _cells(spark, sf_dir, SHORT).select("table_id", "row_idx", "col_idx", cleaned)
+    return _cells(spark, sf_dir).select("table_id", "row_idx", "col_idx", cleaned)
 
 
 @query(Q.with_corpus(SHEETS + DIRTY, query=f"""
 SELECT table_id, row_idx, col_idx, {Q.alpha('value')} AS alpha, {Q.digits('value')} AS digits,
-  {Q.header_word('value')} AS header_word FROM cells WHERE value IS NOT NULL AND rank < 5"""))
+  {Q.header_word('value')} AS header_word FROM cells WHERE value IS NOT NULL"""))
 def label_tests(spark, sf_dir):
-    """Label tests on the first rows of every worksheet."""
+    """Label tests on every cell of every worksheet."""
     value = F.col("value")
-    cells = to_cells(preview(grid_of(spark, sf_dir, SHEETS + DIRTY), 5), keep_empty=False)
-    return cells.select(
+    return _cells(spark, sf_dir, SHEETS + DIRTY).select(
         "table_id", "row_idx", "col_idx",
         X.is_alpha_label(value).alias("alpha"), X.is_digit_label(value).alias("digits"),
         X.is_header_word(value).alias("header_word"),

@@ -81,7 +81,7 @@ def density_score(spark, sf_dir):
 
 
 def _cells(known):
-    return H.header_cells(known.grid, known.columns, known.top)
+    return H.header_cells(known.grid, known.columns, known.top, known.sources)
 
 
 @query(Q.with_corpus(MIXED, Q.HEADERS, query="""

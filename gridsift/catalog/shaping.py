@@ -10,8 +10,6 @@ from gridsift.catalog.corpora import DIRTY, SHEETS, grid_of, sources_of
 from gridsift.operators import grid as G
 from gridsift.operators import profile as P
 from gridsift.operators.confidence import profile
-from gridsift.settings import WatchSettings
-from gridsift.sources.files import list_files
 
 # Worksheets whose cells are listed one by one (whole tables, narrow text).
 CELLS = tuple(s for s in DIRTY if s.table in ("customer", "supplier", "part"))
@@ -22,13 +20,6 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
-def file_inventory(spark, sf_dir):
-    """Files of the data folder, by pattern, kind and size."""
-    watch = WatchSettings(folders=(sf_dir,), patterns=("*.PARQUET",), extensions=(".parquet",))
-    return list_files(spark, watch).select("name", "length", "error")
-
-
 @query(f"""
 SELECT {", ".join(
     f"CASE WHEN {e} IN ('', '#N/A', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') THEN NULL ELSE {e} END AS {n}"
@@ -74,7 +65,9 @@ def head(spark, sf_dir):
     return G.head(part, ["_down", "p_partkey"], 10).select("p_partkey", "p_name", "p_brand")
 
 
-@query()
+@query("""
+SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) < 858993459""")
 def sample_rows(spark, sf_dir):
     """A reproducible fifth of the rows."""
     return G.sample_rows(_table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber")
@@ -151,10 +144,16 @@ def distinct_counts(spark, sf_dir):
     return P.distinct_counts(known.grid, known.columns.select("table_id", "col_idx"), known.sources)
 
 
-@query()
+@query(Q.with_corpus(DIRTY, query="""
+SELECT table_id, col_idx, true AS close FROM cells GROUP BY table_id, col_idx HAVING count(value) > 0"""))
 def approx_distinct_counts(spark, sf_dir):
+    """Sketched distinct values of every column: within three standard errors (or one value) of the exact ones."""
     known = profile(sources_of(spark, sf_dir, DIRTY))
-    return P.approx_distinct_counts(known.grid, known.columns.select("table_id", "col_idx"))
+    wanted, rsd = known.columns.select("table_id", "col_idx"), 0.02
+    sketched = P.approx_distinct_counts(known.grid, wanted, rsd).withColumnRenamed("distinct_values", "sketched")
+    both = sketched.join(P.distinct_counts(known.grid, wanted, known.sources), ["table_id", "col_idx"])
+    off = F.abs(F.col("sketched") - F.col("distinct_values"))
+    return both.select("table_id", "col_idx", (off <= F.greatest(F.lit(1.0), 3 * rsd * F.col("distinct_values"))).alias("close"))
 
 
 _NTH = """nth_values AS (
@@ -167,7 +166,7 @@ _NTH = """nth_values AS (
 def first_values(spark, sf_dir):
     """The first ten values of every column, however far down they are."""
     known = profile(sources_of(spark, sf_dir, MIXED))
-    return P.first_values(known.grid, 10, known.columns, known.top).select("table_id", "col_idx", "nth", "value")
+    return P.first_values(known.grid, 10, known.columns, known.top, known.sources).select("table_id", "col_idx", "nth", "value")
 
 
 _KINDS = f"""kinds AS (
@@ -179,7 +178,7 @@ _KINDS = f"""kinds AS (
 
 def _types(spark, sf_dir):
     known = profile(sources_of(spark, sf_dir, MIXED))
-    return P.detect_types(known.grid, known.columns, known.dense)
+    return P.detect_types(known.grid, known.columns, known.dense, known.sources)
 
 
 @query(Q.with_corpus(MIXED, _NTH, _KINDS, query="SELECT * FROM kinds"))

@@ -6,10 +6,27 @@ Number literals use exponents (``3e-1``) so they are doubles, not decimals.
 from __future__ import annotations
 
 from gridsift.catalog.corpora import Sheet, grid_sql
-from gridsift.functions.parse import DATE_RE, NUMBER_RE
-from gridsift.functions.text import HEADER_WORDS, NULL_TOKENS, WHITESPACE  # noqa: F401
 
-SPACE = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
+# Fixed values, stated here on their own so that the SQL forms check the engine's:
+# code points that are trimmed, spellings of numbers and dates, header words.
+SPACE = " || ".join(
+    f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
+)
+NUMBER_RE = r"^[ \t\n\x0B\f\r]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\x0B\f\r]*\z"
+_YEAR = "(167[89]|16[89][0-9]|1[789][0-9][0-9]|2[01][0-9][0-9]|22[0-5][0-9]|226[01])"
+DATE_RE = (
+    r"^[ \t\n\x0B\f\r]*("
+    + _YEAR + r"-[0-9][0-9]-[0-9][0-9]([ T][0-9][0-9]:[0-9][0-9](:[0-9][0-9](\.[0-9]{1,6})?)?)?"
+    "|" + _YEAR + "([0-9][0-9][0-9][0-9])?"
+    "|" + _YEAR + "/[0-9][0-9]?/[0-9][0-9]?"
+    "|[0-9][0-9]?/[0-9][0-9]?/" + _YEAR
+    + "|[A-Za-z][A-Za-z][A-Za-z] [0-9][0-9]?, " + _YEAR
+    + r")[ \t\n\x0B\f\r]*\z"
+)
+HEADER_WORDS = (
+    "amount category code comments count date description id identifier key label name notes number quantity ref "
+    "reference state status time timestamp title type value"
+).split()
 
 
 def strip(v: str) -> str:
@@ -158,17 +175,13 @@ consistent AS (
 HEADERS = f"""candidates AS (
   SELECT table_id, rank, col_idx, coalesce({strip('value')}, '') AS name FROM cells WHERE rank < 5
 ),
+firsts AS (
+  SELECT table_id, col_idx, rank, value FROM cells WHERE value IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY table_id, col_idx ORDER BY rank) <= 8
+),
 below AS (
   SELECT c.table_id, c.rank, c.col_idx, list(v.value ORDER BY v.rank) AS vals
-  FROM candidates c,
-  LATERAL (
-    SELECT value, rank FROM (
-      SELECT table_id, col_idx, rank, value,
-        row_number() OVER (PARTITION BY table_id, col_idx ORDER BY rank) AS nth
-      FROM cells WHERE value IS NOT NULL
-    ) f
-    WHERE f.nth <= 8 AND f.table_id = c.table_id AND f.col_idx = c.col_idx AND f.rank > c.rank
-  ) v
+  FROM candidates c JOIN firsts v ON v.table_id = c.table_id AND v.col_idx = c.col_idx AND v.rank > c.rank
   GROUP BY ALL
 ),
 joined AS (

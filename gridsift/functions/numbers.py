@@ -71,18 +71,16 @@ def format_g6(text: Column) -> Column:
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
-def g6_cells(cells: pd.Series, kinds: pd.Series) -> pd.Series:
-    """Rewrite the number cells of whole rows to six significant digits."""
+def _six_digit_lists(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda row: [None if text is None else f"{float(text):g}" if text else "" for text in row])
 
-    def one(text: str) -> str:
-        return f"{float(text):g}" if text else ""
 
-    return pd.Series([
-        [one(text) if kind == "number" else text for text, kind in zip(row, row_kinds)]
-        for row, row_kinds in zip(cells, kinds)
-    ])
+def g6_cells(cells: Column, kinds: Column) -> Column:
+    """Rewrite the number cells of whole rows to six significant digits; no other text goes to Python."""
+    numbers = F.zip_with(cells, kinds, lambda c, k: F.when(k == "number", F.coalesce(c, F.lit(""))))
+    return F.zip_with(cells, _six_digit_lists(numbers), lambda c, done: F.coalesce(done, c))
 
 
 def format_date(text: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss``; a cell that is no date becomes empty."""
-    return F.coalesce(F.date_format(timestamp_of(text), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    """``yyyy-MM-dd HH:mm:ss`` in any session zone; a cell that is no date becomes empty."""
+    return F.coalesce(F.substring(timestamp_of(text).cast("string"), 1, 19), F.lit(""))

@@ -43,9 +43,9 @@ def is_number(text: Column) -> Column:
 
 
 def timestamp_of(text: Column) -> Column:
-    """The value as a timestamp if it is one of the fixed date spellings, else null.
+    """The value as a timestamp without a zone if it is one of the fixed date spellings, else null.
 
-    Each value is judged on its own.  ``a/b/yyyy`` is month first, then day first.
+    The time zone of the session plays no part.  Each value is judged on its own.  ``a/b/yyyy`` is month first, then day first.
     Spellings are brought to the ISO form, which the plain cast reads fastest; the
     cast also drops the whitespace the pattern allows.
     """
@@ -54,10 +54,11 @@ def timestamp_of(text: Column) -> Column:
     month_first = F.regexp_replace(text, slashed, "$3-$1-$2")
     iso = F.translate(F.regexp_replace(month_first, packed, "$1-$2-$3"), "/", "-")
     day_first = F.regexp_replace(text, slashed, "$3-$2-$1")
+    kind = "timestamp_ntz"
     parsed = (
-        F.when(text.contains("-"), text.try_cast("timestamp"))
-        .when(text.contains(","), F.try_to_timestamp(strip(text), F.lit("MMM d, yyyy")))
-        .otherwise(F.coalesce(iso.try_cast("timestamp"), day_first.try_cast("timestamp")))
+        F.when(text.contains("-"), text.try_cast(kind))
+        .when(text.contains(","), F.try_to_date(strip(text), "MMM d, yyyy").cast(kind))
+        .otherwise(F.coalesce(iso.try_cast(kind), day_first.try_cast(kind)))
     )
     return F.when(text.rlike(DATE_RE), parsed)
 

@@ -19,7 +19,7 @@ from gridsift.operators.consistency import score_columns, table_consistency
 from gridsift.operators.density import density_score
 from gridsift.operators.grid import GridSource, corpus_grid, head_rows
 from gridsift.operators.headers import best_header_row, header_cells, header_quality, header_rows
-from gridsift.operators.profile import column_profile, is_dense, table_profile
+from gridsift.operators.profile import column_profile, table_profile
 from gridsift.session import materialize
 from gridsift.settings import ScoreSettings
 
@@ -40,7 +40,7 @@ class Profile:
     @cached_property
     def top(self) -> DataFrame:
         """The first rows of every table, ranked."""
-        return materialize(head_rows(self.grid, TOP_ROWS, self.dense))
+        return materialize(head_rows(self.grid, TOP_ROWS, self.dense, self.sources))
 
 
 def profile(grid: DataFrame | Sequence[GridSource]) -> Profile:
@@ -51,8 +51,8 @@ def profile(grid: DataFrame | Sequence[GridSource]) -> Profile:
     sources = () if isinstance(grid, DataFrame) else tuple(grid)
     frame = corpus_grid(sources) if sources else grid
     columns = materialize(column_profile(frame))
-    tables = table_profile(columns)
-    return Profile(frame, columns, tables, is_dense(tables), sources)
+    dense = bool(sources) and all(s.dense for s in sources)
+    return Profile(frame, columns, table_profile(columns), dense, sources)
 
 
 def gate_reason(settings: ScoreSettings, rows: Column, columns: Column) -> Column:
@@ -97,7 +97,7 @@ def confidence(
     passed = checked.where(F.col("gate_reason").isNull()).select("table_id")
     columns = known.columns.join(passed, "table_id", "left_semi")
 
-    headers = header_quality(best_header_row(header_rows(header_cells(known.grid, columns, known.top))))
+    headers = header_quality(best_header_row(header_rows(header_cells(known.grid, columns, known.top, known.sources))))
     scores = table_consistency(score_columns(known.grid, columns, known.sources))
     density = density_score(known.tables, settings.max_empty)
 

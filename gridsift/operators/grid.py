@@ -12,7 +12,6 @@ this one schema, so a corpus is a plain union.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -28,7 +27,6 @@ from gridsift.session import materialize
 
 GRID_SCHEMA = "table_id string, row_idx bigint, cells array<string>, filled int"
 HEADER_POSITION = 0
-FEW_TABLES = 64
 
 
 def count_filled(cells: Sequence[Column]) -> Column:
@@ -39,10 +37,14 @@ def cell_text(column: Column, kind: T.DataType, double_scale: int | None = None)
     """A typed value as cell text (no header, no type kept)."""
     if isinstance(kind, T.StringType):
         return column
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, T.TimestampNTZType):
+        return F.substring(column.cast("string"), 1, 19)
+    if isinstance(kind, T.TimestampType):
         return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
     if isinstance(kind, (T.DoubleType, T.FloatType)) and double_scale is not None:
-        return column.cast(f"decimal(18,{double_scale})").cast("string")
+        # Values that no decimal holds (very large, infinite) keep their own text; not-a-number is empty.
+        exact = column.try_cast(f"decimal(18,{double_scale})").cast("string")
+        return F.coalesce(exact, F.when(~F.isnan(column), column.cast("string")))
     if isinstance(kind, T.BooleanType):
         return F.when(column, "True").when(~column, "False")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
@@ -65,6 +67,8 @@ class GridSource:
     ``table_id`` is a constant name or a column (one table per distinct value).
     ``position`` must be a non-negative integer that orders the rows.  With
     ``header`` the column names (or ``names``) become the first row of every table.
+    ``dense`` is the maker's word that the positions of every table are 0, 1, 2 ...
+    (1, 2, 3 ... below a header) and never repeat; nothing else can tell.
     """
 
     df: DataFrame
@@ -75,15 +79,21 @@ class GridSource:
     tokens: tuple[str, ...] = NULL_TOKENS
     double_scale: int | None = None
     names: tuple[str | None, ...] = ()
+    dense: bool = False
 
-    def grid(self, keep: Collection[int] | None = None) -> DataFrame:
-        """Grid rows.  Columns not in ``keep`` stay in place but empty, and are not scanned."""
+    def grid(self, keep: Collection[int] | None = None, upto: int | None = None) -> DataFrame:
+        """Grid rows.  Columns not in ``keep`` stay in place but empty, and are not scanned.
+
+        ``upto`` keeps rows up to a grid position.  It is compared with the position as it
+        stands in the frame, so a scan can skip row groups by their statistics.
+        """
         fields = {f.name: f.dataType for f in self.df.schema.fields}
         columns = self.columns or tuple(fields)
         name = F.lit(self.table_id) if isinstance(self.table_id, str) else self.table_id
         place = F.expr(self.position) if isinstance(self.position, str) else self.position
         kept = range(len(columns)) if keep is None else sorted(keep)
-        texts = self.df.select(
+        rows = self.df if upto is None else self.df.where(place <= upto - (1 if self.header else 0))
+        texts = rows.select(
             name.alias("table_id"),
             (place.cast("long") + (1 if self.header else 0)).alias("row_idx"),
             *[cell_text(F.col(f"`{columns[i]}`"), fields[columns[i]], self.double_scale).alias(f"c{i}") for i in kept],
@@ -244,38 +254,37 @@ def head_positions(grid: DataFrame, k: int) -> DataFrame:
     return kept.groupBy("table_id").agg(F.max("row_idx").alias("last_position"))
 
 
-def _cut_literal(cut: DataFrame) -> tuple[Column, bool]:
-    """A row filter without a join, and whether it is exact.
+def _near(grid: DataFrame, cut: DataFrame, sources: Sequence[GridSource]) -> DataFrame:
+    """Rows up to the cut of their table.
 
-    For a few tables it is a constant lookup, for many the largest position of
-    all.  Either is pushed below the making of cells, so other rows cost nothing.
+    A source of one table is scanned with its cut as a literal on the raw position
+    (the driver holds one number per such source); the others are joined with the cuts.
     """
-    few = cut.limit(FEW_TABLES + 1).collect()
-    if len(few) <= FEW_TABLES:
-        known = json.dumps({r["table_id"]: r["last_position"] for r in few}, ensure_ascii=False)
-        return F.col("row_idx") <= F.from_json(F.lit(known), "map<string,bigint>")[F.col("table_id")], True
-    largest = cut.agg(F.max("last_position").alias("largest")).first()["largest"]
-    return F.col("row_idx") <= F.lit(largest), False
+    named = [s.table_id for s in sources if isinstance(s.table_id, str)]
+    by_name = {r["table_id"]: r["last_position"] for r in cut.where(F.col("table_id").isin(named)).collect()} if named else {}
+    parts = [s.grid(upto=by_name[s.table_id]) for s in sources if isinstance(s.table_id, str) and s.table_id in by_name]
+    many = [s.grid() for s in sources if not isinstance(s.table_id, str)] if sources else [grid]
+    if many:
+        joined = join_small(union_tables(many), cut, ["table_id"])
+        parts.append(joined.where(F.col("row_idx") <= F.col("last_position")).drop("last_position"))
+    return union_tables(parts) if parts else grid.limit(0)
 
 
-def head_rows(grid: DataFrame, k: int, dense: bool = False) -> DataFrame:
+def head_rows(grid: DataFrame, k: int, dense: bool = False, sources: Sequence[GridSource] = ()) -> DataFrame:
     """The first k rows of every table with their 0-based ``rank``.
 
-    ``dense`` says that positions are 0, 1, 2 ... in every table; then the rows
-    are found by a plain filter.  Rows that share the k-th position are all kept.
+    ``dense`` says that positions are 0, 1, 2 ... in every table and never repeat; then
+    the rows are found by a plain filter.  Rows that share the k-th position are
+    told apart by their cells; each task keeps k of a table before they meet.  With
+    ``sources`` (which make up the grid) scans are cut by position.
     """
-    if dense:
-        near = grid.where(F.col("row_idx") < k)
-    else:
-        cut = materialize(head_positions(grid, k))
-        literal, exact = _cut_literal(cut)
-        near = grid.where(literal)
-        if not exact:
-            near = join_small(near, cut, ["table_id"]).where(F.col("row_idx") <= F.col("last_position"))
-            near = near.drop("last_position")
+    near = grid.where(F.col("row_idx") < k) if dense else _near(grid, materialize(head_positions(grid, k)), sources)
+    salted = near.withColumn("_tie", _tie()).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(256)))
+    first = Window.partitionBy("table_id", "_salt").orderBy("row_idx", "_tie")
+    few = salted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     place = Window.partitionBy("table_id").orderBy("row_idx", "_tie")
-    ranked = near.withColumn("_tie", _tie()).withColumn("rank", F.row_number().over(place) - 1)
-    return ranked.drop("_tie")
+    ranked = few.withColumn("rank", F.row_number().over(place) - 1).where(F.col("rank") < k)
+    return ranked.drop("_tie", "_salt")
 
 
 def preview(grid: DataFrame, n: int = 10, dense: bool = False) -> DataFrame:
@@ -288,12 +297,8 @@ def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample_rows(df: DataFrame, key: str, share: float = 0.2, above: int = 1000) -> DataFrame:
-    """A reproducible share of the rows, picked by a hash of the key.
-
-    Frames of at most ``above`` rows are returned whole.
-    """
-    if df.limit(above + 1).count() <= above:
-        return df
-    buckets = 1_000_000
-    return df.where(F.pmod(F.xxhash64(key), F.lit(buckets)) < int(round(share * buckets)))
+def sample_rows(df: DataFrame, key: str, share: float = 0.2) -> DataFrame:
+    """A reproducible share of the rows, picked by the MD5 of the key's text (a null key counts as empty)."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    bucket = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.where(bucket < int(round(share * 2**32)))

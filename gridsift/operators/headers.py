@@ -5,6 +5,8 @@ Scores are kept as whole tenths, so sums are exact and ties are real ties.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from gridsift.functions import (
     is_number,
     strip,
 )
+from gridsift.operators.grid import GridSource
 from gridsift.operators.profile import first_values
 
 CANDIDATE_ROWS = 5
@@ -45,13 +48,15 @@ def _data_bonus(name: Column, below: Column) -> Column:
     )
 
 
-def header_cells(grid: DataFrame, columns: DataFrame, top: DataFrame) -> DataFrame:
+def header_cells(
+    grid: DataFrame, columns: DataFrame, top: DataFrame, sources: Sequence[GridSource] = ()
+) -> DataFrame:
     """Score of every cell of the first five rows as a column header.
 
     ``top`` holds at least the first five rows of every table (``head_rows``).
     Returns ``table_id, rank, col_idx, name, tenths, good``.
     """
-    values = first_values(grid, CANDIDATE_ROWS + BELOW, columns, top)
+    values = first_values(grid, CANDIDATE_ROWS + BELOW, columns, top, sources)
     early = values.groupBy("table_id", "col_idx").agg(
         F.sort_array(F.collect_list(F.struct("nth", "rank", "value"))).alias("_early")
     )

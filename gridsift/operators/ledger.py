@@ -119,10 +119,12 @@ def op_summary(ops: DataFrame, op: str | None = None) -> DataFrame:
     return rolled.withColumn("success_rate", rate).withColumn("avg_duration_ms", mean).drop("_timed")
 
 
-def error_breakdown(ops: DataFrame) -> DataFrame:
-    """Failed operations per error type."""
+def error_breakdown(ops: DataFrame, operation: str | None = None, by_operation: bool = False) -> DataFrame:
+    """Failed operations per error type: of all, of one operation, or of each."""
     failed = ops.where(~F.col("success"))
-    return failed.groupBy(F.coalesce("error_type", F.lit("Unknown")).alias("error_type")).agg(
+    if operation is not None:
+        failed = failed.where(F.col("operation_name") == operation)
+    return failed.groupBy(*["operation_name"] * by_operation, F.coalesce("error_type", F.lit("Unknown")).alias("error_type")).agg(
         F.count(F.lit(1)).alias("errors")
     )
 

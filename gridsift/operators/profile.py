@@ -149,16 +149,14 @@ def approx_distinct_counts(grid: DataFrame, wanted: DataFrame, rsd: float = 0.02
     )
 
 
-def is_dense(tables: DataFrame) -> bool:
-    """True when the positions of every table are 0, 1, 2 ... (one small aggregate)."""
-    return tables.where(F.col("last_position") + 1 != F.col("rows")).isEmpty()
-
-
-def first_values(grid: DataFrame, k: int, columns: DataFrame, top: DataFrame) -> DataFrame:
+def first_values(
+    grid: DataFrame, k: int, columns: DataFrame, top: DataFrame, sources: Sequence[GridSource] = ()
+) -> DataFrame:
     """The first k non-null values of every column.
 
     ``top`` holds the first rows of each table (``head_rows``).  Only columns that
-    have more values but not k of them up there are searched in the whole table.
+    have more values but not k of them up there are searched in the whole table;
+    with ``sources`` only those columns are scanned.
     Returns ``table_id, col_idx, nth (1-based), rank, value``; ``rank`` is the row
     number for rows of ``top`` and a large number beyond.
     """
@@ -178,9 +176,14 @@ def first_values(grid: DataFrame, k: int, columns: DataFrame, top: DataFrame) ->
     short = materialize(short)
     if short.isEmpty():
         return found.drop("row_idx")
+    if sources:
+        grid = narrow_grid(sources, short.select("table_id", F.explode("_wanted").alias("col_idx")))
+    # Where positions repeat, the last one on top may have more rows: it is searched again as a whole.
     cut = top.groupBy("table_id").agg(F.max("row_idx").alias("_cut"))
+    again = short.join(cut, "table_id").select("table_id", F.explode("_wanted").alias("col_idx"), "_cut")
+    found = found.join(again, ["table_id", "col_idx"], "left").where("_cut IS NULL OR row_idx < _cut").drop("_cut")
     rest = join_small(grid.select("table_id", "row_idx", "cells"), short.join(cut, "table_id"), ["table_id"])
-    rest = rest.where(F.col("row_idx") > F.col("_cut"))
+    rest = rest.where(F.col("row_idx") >= F.col("_cut"))
     rest = rest.select(
         "table_id", "row_idx", "_wanted", F.posexplode_outer("cells").alias("col_idx", "value"),
         F.pmod(F.spark_partition_id(), F.lit(256)).alias("_salt"),
@@ -198,10 +201,12 @@ def first_values(grid: DataFrame, k: int, columns: DataFrame, top: DataFrame) ->
     )
 
 
-def detect_types(grid: DataFrame, columns: DataFrame, dense: bool = False) -> DataFrame:
+def detect_types(
+    grid: DataFrame, columns: DataFrame, dense: bool = False, sources: Sequence[GridSource] = ()
+) -> DataFrame:
     """Per column: numeric, date or text, by its first 100 values; empty columns have no type."""
-    top = materialize(head_rows(grid, 2 * TYPE_SAMPLE, dense))
-    sample = first_values(grid, TYPE_SAMPLE, columns, top)
+    top = materialize(head_rows(grid, 2 * TYPE_SAMPLE, dense, sources))
+    sample = first_values(grid, TYPE_SAMPLE, columns, top, sources)
     judged = sample.groupBy("table_id", "col_idx").agg(
         F.bool_and(is_number(F.col("value"))).alias("_all_numbers"),
         F.bool_and(is_date(F.col("value"))).alias("_all_dates"),

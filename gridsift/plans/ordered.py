@@ -2,8 +2,8 @@
 
 A plain window sends each group to one task.  Here the rows are range-partitioned
 by group and order, so a large group is cut into consecutive parts; each part is
-scanned on its own, and one summary row per part and group carries the state
-across the cuts.  The summary has at most one row per (part, group).
+scanned on its own, and summary rows of the groups that are cut carry the state
+across the cuts.  Rows are shuffled by range, kept, and gathered by part and group.
 
 The order must be total within a group, up to rows that are equal throughout.
 """
@@ -35,15 +35,22 @@ def _across(keys: Sequence[str]):
 
 
 def _carry(scanned: DataFrame, summary: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Bring the summary of a part back to its rows; both are partitioned alike."""
+    """Bring the carried value of a part and group to its rows, null where nothing is carried.
+
+    Only groups that lie in more than one part carry anything.  Parts are consecutive
+    ranges, so a part shares at most one group with each neighbour: there are at most
+    two such rows per part, which is what makes them small enough to broadcast.
+    """
+    spans = F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)])))
+    cut = summary.withColumn("_parts", spans).where("_parts > 1")
     names = {key: f"_k{i}" for i, key in enumerate(keys)}
-    right = summary.select(
+    right = cut.select(
         F.col(PART).alias("_p"), *[F.col(key).alias(name) for key, name in names.items()], value
     )
     match = F.col(PART) == F.col("_p")
     for key, name in names.items():
         match = match & F.col(key).eqNullSafe(F.col(name))
-    return scanned.join(right, match, "inner").drop("_p", *names.values())
+    return scanned.join(F.broadcast(right), match, "left").drop("_p", *names.values())
 
 
 def number_within(
@@ -53,10 +60,10 @@ def number_within(
     parts = _parts(df, keys, order)
     summary = parts.groupBy(PART, *keys).agg(F.count(F.lit(1)).alias("_rows"))
     before = F.sum("_rows").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1))
-    summary = summary.withColumn("_before", F.coalesce(before, F.lit(0)))
+    summary = summary.withColumn("_before", before)
     local = parts.withColumn("_here", F.row_number().over(_local(keys, order)))
     joined = _carry(local, summary, keys, "_before")
-    return joined.withColumn(out, F.col("_before") + F.col("_here")).drop(PART, "_before", "_here")
+    return joined.withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_here")).drop(PART, "_before", "_here")
 
 
 def running_max_before(

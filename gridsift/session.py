@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,39 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location))
 
 
+def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in the names right below a folder, unescaped (none if there is no folder)."""
+    jvm = spark._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(location):
+        return []
+    plain = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    names = [status.getPath().getName() for status in system.listStatus(location)]
+    return [plain(name[len(prefix):]) for name in names if name.startswith(prefix)]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the executors' Python workers, once per session.
+
+    Functions that run in workers are found there by the name of their module; a
+    worker on another machine, or started in another folder, cannot import it else.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_gridsift_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="gridsift-package-"), "gridsift_package.zip")
+    with zipfile.ZipFile(archive, "w") as package:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    package.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._gridsift_shipped = True
+
+
 def local_session(cpus: int | str = "*", name: str = "gridsift") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     parts = os.environ.get("GRIDSIFT_SHUFFLE_PARTITIONS", "8")

@@ -22,8 +22,9 @@ from gridsift.functions import match_glob
 from gridsift.functions.text import NULL_TOKENS
 from gridsift.operators.grid import as_grid
 from gridsift.plans import join_small
+from gridsift.session import materialize, ship_package
 from gridsift.settings import WatchSettings
-from gridsift.sources.files import MEGABYTE, file_name
+from gridsift.sources.files import MEGABYTE, file_name, name_glob, too_large
 
 RECORD_SCHEMA = (
     "kind string, source_path string, sheet_index int, sheet_name string, sheet_state string, "
@@ -127,7 +128,11 @@ class _Book:
         """Stored rows of a sheet in file order: position and non-empty cells."""
         at = -1
         with self.zip.open(path) as stream:
-            for _, node in ElementTree.iterparse(stream):
+            parent = None
+            for event, node in ElementTree.iterparse(stream, ("start", "end")):
+                if event == "start":
+                    parent = node if _local(node.tag) == "sheetData" else parent
+                    continue
                 if _local(node.tag) != "row":
                     continue
                 at = int(node.get("r")) - 1 if node.get("r") else at + 1
@@ -141,7 +146,8 @@ class _Book:
                     if value is not None:
                         cells[column] = value
                 yield at, cells
-                node.clear()
+                if parent is not None:
+                    parent.clear()  # rows that are done leave no empty nodes behind
 
 
 def _column(reference: str) -> int:
@@ -171,7 +177,10 @@ def _sheet_records(book: _Book, path: str) -> Iterator[dict]:
         expected = at + 1
 
 
-def _records(path: str, content: bytes) -> Iterator[dict]:
+def _records(path: str, content: bytes | None, error: str | None = None) -> Iterator[dict]:
+    if error is not None or content is None:
+        yield {"kind": "error", "source_path": path, "error": error or "File could not be read"}
+        return
     try:
         book = _Book(content)
     except Exception as problem:  # a damaged file must not stop the others
@@ -195,16 +204,19 @@ def _frame(records: list[dict]) -> pd.DataFrame:
 
 
 def parse_workbooks(files: DataFrame) -> DataFrame:
-    """Records of binary files (``path, content``): sheet facts, rows and errors.
+    """Records of binary files (``path, content`` and, if there, ``error``): sheet facts, rows and errors.
 
     Spark bounds the bytes of an Arrow batch, so a task holds a few files at a time.
+    A file with an ``error`` gives one error record; it is not parsed.
     """
+    ship_package(files.sparkSession)
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[dict] = []
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for record in _records(path, content):
+            for path, content, wrong in zip(batch["path"], batch["content"], batch["error"]):
+                for record in _records(path, content, wrong):
                     waiting.append(record)
                     if len(waiting) >= BATCH_ROWS:
                         yield _frame(waiting)
@@ -212,19 +224,27 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
         if waiting:
             yield _frame(waiting)
 
-    return files.select("path", "content").mapInPandas(parse, RECORD_SCHEMA)
+    return files.select("path", "content", error).mapInPandas(parse, RECORD_SCHEMA)
 
 
 def read_workbooks(spark: SparkSession, watch: WatchSettings) -> DataFrame:
-    """Records of all ``.xlsx`` files of the folders within the size limit."""
-    listing = spark.read.format("binaryFile").load(list(watch.folders))
+    """Records of all ``.xlsx`` files of the folders; one beyond the size limit gives an error record.
+
+    Files of other names are not opened, contents beyond the limit are not read, and
+    every file is parsed once: the records are kept.
+    """
+    reader = spark.read.format("binaryFile")
+    if (glob := name_glob(watch.patterns)) is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    listing = reader.load(list(watch.folders))
     name = file_name(F.col("path"))
-    taken = listing.where(
-        match_glob(name, watch.patterns)
-        & F.lower(name).endswith(".xlsx")
-        & (F.col("length") <= int(watch.max_file_mb * MEGABYTE))
+    taken = listing.where(match_glob(name, watch.patterns) & F.lower(name).endswith(".xlsx"))
+    limit = int(watch.max_file_mb * MEGABYTE)
+    small = taken.where(F.col("length") <= limit).select("path", "content", F.lit(None).cast("string").alias("error"))
+    large = taken.where(F.col("length") > limit).select(
+        "path", F.lit(None).cast("binary").alias("content"), too_large(F.col("length"), watch.max_file_mb).alias("error")
     )
-    return parse_workbooks(taken)
+    return materialize(parse_workbooks(small.unionByName(large)))
 
 
 def _table_id():

@@ -15,10 +15,10 @@ def debounce_stream(
 
     Sessions close when no event follows within the gap.  With a watermark (append
     mode) state is dropped as bursts end and later events open a new burst;
-    without one (complete mode) all bursts are kept, for bounded checks.  Sessions are
-    merged before the shuffle as well, so a busy path moves bursts, not events.
+    without one (complete mode) all bursts are kept, for bounded checks.  Set
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` on the
+    session to merge before the shuffle as well: a busy path then moves bursts, not events.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     timed = events.withColumn("_at", F.col(ts).cast("timestamp"))
     if watermark:
         timed = timed.withWatermark("_at", gap)

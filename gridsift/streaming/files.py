@@ -19,7 +19,7 @@ from gridsift.functions import backoff, file_stem, match_glob
 from gridsift.operators.confidence import confidence, profile
 from gridsift.session import materialize, path_exists
 from gridsift.settings import OutputSettings, RetrySettings, ScoreSettings, WatchSettings
-from gridsift.sources.files import MEGABYTE, file_name
+from gridsift.sources.files import MEGABYTE, file_name, name_glob, too_large
 from gridsift.sources.writers import deliver
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -28,25 +28,35 @@ BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content
 def stream_files(
     spark: SparkSession, watch: WatchSettings, since: datetime | None = None, archive: str | None = None
 ) -> DataFrame:
-    """Files as they arrive: ``path, modificationTime, length, content``.
+    """Files as they arrive: ``path, modificationTime, length, content, error``.
 
-    One source per folder.  Without ``process_existing`` files older than ``since``
+    A file beyond the size limit comes with an ``error`` and without content.  One source per folder.  Without ``process_existing`` files older than ``since``
     (default now) are skipped.  With ``archive`` a consumed file is moved there once
     a later batch has run; the folder must lie outside the watched ones.
     """
     streams = []
+    error, limit = too_large(F.col("length"), watch.max_file_mb), int(watch.max_file_mb * MEGABYTE)
     for folder in watch.folders:
         reader = (
             spark.readStream.format("binaryFile")
             .schema(BINARY_SCHEMA)
             .option("maxFilesPerTrigger", watch.max_files_per_trigger)
         )
+        if (glob := name_glob(watch.patterns)) is not None:
+            reader = reader.option("pathGlobFilter", glob)
         if archive:
             reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-        streams.append(reader.load(folder))
+        if archive:
+            # One source alone may move the files of a folder.
+            files = reader.load(folder)
+            streams.append(files.withColumn("content", F.when(error.isNull(), F.col("content"))).withColumn("error", error))
+            continue
+        # Lengths are known before contents: those of large files are never read.
+        streams.append(reader.load(folder).where(F.col("length") <= limit).withColumn("error", F.lit(None).cast("string")))
+        large = reader.load(folder).where(F.col("length") > limit).drop("content")
+        streams.append(large.withColumn("content", F.lit(None).cast("binary")).withColumn("error", error))
     files = reduce(DataFrame.unionByName, streams)
     files = files.where(match_glob(file_name(F.col("path")), watch.patterns))
-    files = files.where(F.col("length") <= int(watch.max_file_mb * MEGABYTE))
     if not watch.process_existing:
         start = since or datetime.now(timezone.utc)
         files = files.where(F.col("modificationTime") >= F.lit(start))

@@ -56,4 +56,5 @@ def test_broken_sheets_and_files_do_not_stop_the_rest(spark, tmp_path):
 def test_size_limit_applies_before_reading(spark, tmp_path):
     xlsx.write(tmp_path / "a.xlsx", {"S": xlsx.table([["a"]])})
     watch = WatchSettings(folders=(str(tmp_path),), max_file_mb=0.0001)
-    assert read_workbooks(spark, watch).isEmpty()
+    (record,) = read_workbooks(spark, watch).collect()
+    assert record["kind"] == "error" and record["error"].startswith("File too large: 0.0MB > ") and record["source_path"].endswith("a.xlsx")
