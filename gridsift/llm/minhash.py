@@ -12,8 +12,9 @@ of each class goes on.  Bands of ``rows`` coordinates give bucket keys.  Two set
 at the threshold share no bucket with probability (1 - s ** rows) ** bands, below
 1e-5 with the settings here.  No bucket is expanded into pairs: its members are compared
 with one centre, the member with the most bucket mates.  Where members of a bucket
-remain in different components, a later step compares them across components.
-All links are confirmed on full shingle sets.
+remain in different components, they are compared across components if they share
+one of their rarest shingles, as sets of this similarity must.  All links are
+confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsift.llm.exact_dedup import RUNS, merge_runs
@@ -34,6 +35,8 @@ from gridsift.plans.joins import join_small
 ROWS, BANDS = 6, 60
 NUMERATOR, DENOMINATOR = 75, 100
 EMPTY = np.uint64((1 << 64) - 1)
+#: Shingles of so many texts go to the end of the order, by their number; the others are ordered by hash alone.
+FREQUENT = 4
 #: Shingle hashes keep 64 bits less these.
 DOC_BITS = 8
 
@@ -147,6 +150,45 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, shared long, total long")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, component) to a row for each distinct shingle."""
+    for batch in batches:
+        for part in small_slices(batch, 1, 1 << 20):
+            value, sizes = shingle_sets(part.column(1))
+            row = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(row), part.column(2).take(row), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(value.view(np.int64))],
+                ["id", "component", "n", "token"],
+            )
+
+
+def rare_pairs(texts: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, frequent: int = FREQUENT) -> DataFrame:
+    """Pairs (a, b) of (id, text, component) in different components that can be similar enough.
+
+    Exact: with all shingles in one order, two sets of at least the similarity share
+    one of the first ``n - ceil(n * similarity) + 1`` shingles of either.  The order
+    puts shingles of many texts last, so texts that share a common passage, and
+    differ in over a quarter of the rest, never meet.  A pair meets at the first shingle
+    it shares, and there only if what is left of both is long enough.
+    """
+    tokens = saved(texts.mapInArrow(_tokens, "id long, component long, n long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") >= frequent)
+    ordered = join_small(tokens, often, ["token"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "token"))
+    first = F.expr(f"n - (n * {numerator} + {denominator - 1}) div {denominator} + 1")
+    rows = saved(ordered.withColumn("place", place).where(F.col("place") <= first).select("id", "component", "n", "token", (F.col("n") - F.col("place")).alias("behind")), "prefixes")
+    # Rows outside the largest component of a shingle meet all rows of it; rows of one component never do.
+    kinds = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = kinds.groupBy("token").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    rows = saved(rows.join(top.select("token", F.col("top.component").alias("largest")), "token"), "prefixes")
+    left = rows.where("component <> largest").select("token", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("behind").alias("ra"))
+    right = rows.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("behind").alias("rb"))
+    # Behind the first shingle two sets share, they share at most what is left of either.
+    enough = f"{numerator + denominator} * (1 + least(ra, rb)) >= {numerator} * (na + nb)"
+    close = F.expr(f"ca <> cb AND {denominator} * least(na, nb) >= {numerator} * greatest(na, nb) AND {enough}")
+    return left.join(right, "token").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -184,21 +226,18 @@ def near_duplicates(
     spokes = live.select("id", "key").join(centre.select("key", F.col("c.id").alias("centre")), "key").where("id <> centre")
     spokes = saved(spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
     same = F.expr(f"{denominator} * shared >= {numerator} * total")
-    links = saved(verified(spokes, texts).where(same).select("a", "b").distinct(), "verified")
+    near = saved(join_small(texts, live.select("id").distinct(), ["id"], "left_semi"), "texts")
+    links = saved(verified(spokes, near).where(same).select("a", "b").distinct(), "verified")
     found = saved(components(links), "components")
 
-    # What a bucket still holds of different components is compared across them.
-    size_of = classes.where("row = rep_row AND id IS NOT NULL").select("id", "n_shingles")
+    # What a bucket still holds of different components is compared across them, through rare shingles.
     marked = live.select("id", "key").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     marked = marked.withColumn("component", F.coalesce("component", "id"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = saved(marked.join(mixed, "key").join(size_of, "id").select("id", "key", "component", "n_shingles"), "mixed")
-    left = rest.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    close = F.expr(f"{denominator} * least(na, nb) >= {numerator} * greatest(na, nb)")
-    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    rest = saved(marked.join(mixed, "key").select("id", "component").distinct(), "mixed")
+    across = rare_pairs(near.join(rest, "id").select("id", "text", "component"), numerator, denominator)
     across = saved(across.join(spokes, ["a", "b"], "left_anti"), "pairs")
-    more = saved(verified(across, texts).where(same).select("a", "b").distinct(), "verified")
+    more = saved(verified(across, near).where(same).select("a", "b").distinct(), "verified")
     if more.limit(1).count():
         found = saved(components(links.unionByName(more)), "components")
 
