@@ -56,7 +56,7 @@ def profile(grid: DataFrame | Sequence[GridSource]) -> Profile:
 
 
 def gate_reason(settings: ScoreSettings, rows: Column, columns: Column) -> Column:
-    """Why a table is not scored at all, else null."""
+    """Why a table is not scored at all, else null (fixed values: the texts)."""
     return (
         F.when(F.coalesce(rows, F.lit(0)) == 0, F.lit("Worksheet is empty"))
         .when(
@@ -181,6 +181,7 @@ def summary_text(scores: DataFrame) -> DataFrame:
         F.concat(F.lit("\nReasons:\n  - "), F.array_join("reasons", "\n  - "), F.lit("\n")),
     ).otherwise(F.lit(""))
     verdict = F.when(F.col("accepted"), "ACCEPT").otherwise("REJECT")
+    # The labels of the report.
     text = F.concat(
         line("Overall Confidence: ", "overall"),
         line("\n  Data Density: ", "density_score"),

@@ -93,6 +93,7 @@ def table_consistency(scored: DataFrame) -> DataFrame:
         F.when(good > 0.8, F.least(F.lit(1.0), mean + 0.1)).when(good > 0.6, mean).otherwise(mean * 0.8)
     )
     grade = F.when(good > 0.8, "High").when(good > 0.6, "Moderate").otherwise("Low")
+    # Grades and the text of the reason.
     reason = F.concat(grade, F.lit(" consistency across "), fixed(good * 100, 1), F.lit("% of columns"))
     return frame.select(
         "table_id",

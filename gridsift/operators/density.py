@@ -52,6 +52,7 @@ def density_score(tables: DataFrame, max_empty: float = 0.3) -> DataFrame:
     )
 
     def told(text: str, value: Column) -> Column:
+        # The texts of the reasons below.
         return F.concat(F.lit(text), fixed(value, 3))
 
     reasons = F.array(

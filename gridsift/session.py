@@ -56,6 +56,16 @@ def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return [plain(name[len(prefix):]) for name in names if name.startswith(prefix)]
 
 
+def move_file(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file within its file system, making the folder; false if there is nothing to move."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path(source)):
+        return False
+    system.mkdirs(path(target).getParent())
+    return bool(system.rename(path(source), path(target)))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the package to the executors' Python workers, once per session.
 

@@ -20,7 +20,8 @@ from gridsift.operators.confidence import confidence, profile
 from gridsift.session import materialize, path_exists
 from gridsift.settings import OutputSettings, RetrySettings, ScoreSettings, WatchSettings
 from gridsift.sources.files import MEGABYTE, file_name, name_glob, too_large
-from gridsift.sources.writers import deliver
+from gridsift.operators.ledger import file_outcome
+from gridsift.sources.writers import archive_inputs, deliver
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -57,6 +58,9 @@ def stream_files(
         streams.append(large.withColumn("content", F.lit(None).cast("binary")).withColumn("error", error))
     files = reduce(DataFrame.unionByName, streams)
     files = files.where(match_glob(file_name(F.col("path")), watch.patterns))
+    # Not files below the folders, such as archived ones.
+    inside = F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(file_name(F.col("path"))) - 1)
+    files = files.where(reduce(lambda a, b: a | b, [inside.endswith(folder.rstrip("/")) for folder in watch.folders]))
     if not watch.process_existing:
         start = since or datetime.now(timezone.utc)
         files = files.where(F.col("modificationTime") >= F.lit(start))
@@ -100,9 +104,14 @@ def judge_batches(
     deliver_path: str | None = None,
     settings: ScoreSettings = ScoreSettings(),
     output: OutputSettings = OutputSettings(),
+    archive: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Callback that judges, cleans and delivers the tables of each micro-batch.
 
+    A table must be whole within a batch, as the sheets of a file are; a table whose
+    rows are spread over batches is judged once for each.  With ``archive`` the files
+    (``path`` of ``path#sheet``) that succeeded move to that subfolder of their own.
+
     Tables named ``path#sheet`` are delivered as ``file_sheet.csv``, others under their
     own name.  Each batch has its own folder, so names are settled within the batch
     and a replay writes the same files again.
@@ -116,11 +125,17 @@ def judge_batches(
         if deliver_path is not None:
             table = F.col("table_id")
             source = F.when(table.contains("#"), file_stem(file_name(F.substring_index(table, "#", 1))))
-            deliver(
+            done = deliver(
                 known, scores, f"{deliver_path}/batch_id={batch_id}", str(batch_id),
                 F.coalesce(source, F.lit("")), F.substring_index(table, "#", -1), again,
             )
         write_batch(scores, scores_path, batch_id)
+        if archive is not None and deliver_path is not None:
+            whole = scores.where(F.col("table_id").contains("#")).join(done, "table_id", "left")
+            decisions = whole.select(
+                F.substring_index("table_id", "#", 1).alias("source"), "accepted", F.coalesce("delivered", F.lit(False)).alias("delivered")
+            )
+            archive_inputs(batch.sparkSession, file_outcome(decisions), str(batch_id), archive)
 
     return work
 
@@ -152,6 +167,16 @@ def changed_batches(ledger_path: str, on_change: Callable[[DataFrame, int], None
     return work
 
 
+def heartbeat(spark: SparkSession) -> DataFrame:
+    """A row without a path each second (``path, ts``).
+
+    In union with the inputs of ``retry_batches`` it makes due failures run on time when
+    no new input arrives.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    return ticks.select(F.lit(None).cast("string").alias("path"), F.col("timestamp").alias("ts"))
+
+
 RETRY_SCHEMA = "path string, attempt int, failed_ts timestamp, next_attempt_ts timestamp, exhausted boolean, success boolean"
 
 
@@ -162,7 +187,7 @@ def retry_batches(
 ) -> Callable[[DataFrame, int], None]:
     """Callback that processes new inputs plus earlier failures that are due.
 
-    Takes ``path, ts``.  ``process`` returns ``path, success`` for what it got.  The
+    Takes ``path, ts``; rows without a path only move the clock (``heartbeat``).  ``process`` returns ``path, success`` for what it got.  The
     ledger holds the latest state of a path per batch: attempt number, when the
     next try is due, or that no try is left.  The newest ``ts`` of the batch is the
     clock, so a replay gives the same result.
@@ -177,7 +202,7 @@ def retry_batches(
         open_failures = materialize(state.where(~F.col("success")))
         due = open_failures.where(~F.col("exhausted") & (F.col("next_attempt_ts") <= F.lit(clock)))
         spent = open_failures.where("exhausted").select("path")
-        inputs = batch.select("path").unionByName(due.select("path")).distinct()
+        inputs = batch.where(F.col("path").isNotNull()).select("path").unionByName(due.select("path")).distinct()
         inputs = materialize(inputs.join(spent, "path", "left_anti"))
         if inputs.isEmpty():
             return

@@ -54,6 +54,61 @@ def test_workbooks_are_judged_delivered_and_archived(spark, tmp_path):
     assert any("one.XLSX" in names for _, _, names in os.walk(archive))
 
 
+def test_only_successful_files_are_archived(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    watch = WatchSettings(folders=(str(inbox),), max_file_mb=1)
+
+    def run():
+        work = S.judge_batches(
+            lambda batch: workbook_grid(parse_workbooks(batch)), str(tmp_path / "scores"), str(tmp_path / "out"), archive="done"
+        )
+        S.run_available(S.each_batch(S.stream_files(spark, watch), str(tmp_path / "state"), work))
+
+    xlsx.write(inbox / "good.xlsx", {"Data": xlsx.table(SHEET)})
+    (inbox / "broken.xlsx").write_bytes(b"no zip")
+    (inbox / "large.xlsx").write_bytes(b"x" * (2 << 20))
+    run()
+    assert _files(spark, inbox) == ["broken.xlsx", "done", "large.xlsx"] and _files(spark, inbox / "done") == ["good.xlsx"]
+    xlsx.write(inbox / "good.xlsx", {"Data": xlsx.table(SHEET[:2])})
+    xlsx.write(inbox / "more.xlsx", {"Data": xlsx.table(SHEET)})
+    run()
+    # A file that was seen before comes in again only as a new file; names taken in the archive get the batch as a stamp.
+    assert "more.xlsx" in _files(spark, inbox / "done") and len(_files(spark, tmp_path / "out")) == 2
+
+
+def test_large_and_broken_files_are_told(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "broken.XLSX").write_bytes(b"no zip")
+    (inbox / "large.xlsx").write_bytes(b"x" * (2 << 20))
+    (inbox / "note.txt").write_text("x")
+    records = []
+    stream = S.stream_files(spark, WatchSettings(folders=(str(inbox),), max_file_mb=1))
+    S.run_available(S.each_batch(stream, str(tmp_path / "state"), lambda df, i: records.extend(parse_workbooks(df).collect())))
+    assert sorted((r["source_path"].rsplit("/", 1)[1], r["kind"], r["error"].split(":")[0]) for r in records) == [
+        ("broken.XLSX", "error", "BadZipFile"), ("large.xlsx", "error", "File too large"),
+    ]
+
+
+def test_retries_run_without_new_input(spark, tmp_path):
+    ledger, tried = str(tmp_path / "ledger"), []
+
+    def process(inputs, batch_id):
+        tried.append(sorted(r["path"] for r in inputs.collect()))
+        return inputs.withColumn("success", F.lit(False))
+
+    work = S.retry_batches(ledger, process, RetrySettings(max_attempts=2, delay=1))
+    now = datetime.now()
+    work(spark.createDataFrame([("a", now)], "path string, ts timestamp"), 0)
+    work(spark.createDataFrame([(None, now)], "path string, ts timestamp"), 1)
+    work(spark.createDataFrame([(None, now + timedelta(seconds=2))], "path string, ts timestamp"), 2)
+    work(spark.createDataFrame([(None, now + timedelta(seconds=99))], "path string, ts timestamp"), 3)
+    assert tried == [["a"], ["a"]]
+    beats = S.heartbeat(spark)
+    assert beats.isStreaming and beats.columns == ["path", "ts"]
+
+
 def test_old_files_can_be_skipped(spark, tmp_path):
     for name, age in (("old.xlsx", 3600), ("new.xlsx", 0)):
         xlsx.write(tmp_path / name, {"S": xlsx.table(SHEET)})
