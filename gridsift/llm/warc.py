@@ -112,10 +112,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         F.xxhash64("html").alias("same_hash"), best.alias("best"),
     )
     merged = merge_runs(saved(keys, "payloads"))
-    roles = merged.groupBy("page").agg(F.collect_set(F.struct(SAME[0], F.col("winner.best.id").alias("first"))).alias("roles"))
-    # All rows of a page id come together, in order.
-    rows = slim.repartition("page").join(roles.withColumnRenamed("page", "_page"), F.col("page").eqNullSafe(F.col("_page")))
-    rows = rows.select("page", "url", "html", "roles").sortWithinPartitions("page")
+    # One non-null key, so that rows move once: all rows of a page id come together, in order.
+    key = F.struct(F.col("page").isNull().alias("none"), F.coalesce("page", F.lit(0)).alias("id")).alias("key")
+    roles = merged.groupBy(key).agg(F.collect_set(F.struct(SAME[0], F.col("winner.best.id").alias("first"))).alias("roles"))
+    rows = slim.withColumn("key", key).repartition("key").join(roles, "key")
+    rows = rows.sortWithinPartitions("key").select("page", "url", "html", "roles")
     records = rows.mapInArrow(_archived(least), "record binary").select(F.col("record").cast("string"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
