@@ -252,7 +252,8 @@ asked AS (
 made AS (
   SELECT target, step, CASE WHEN step = 0 THEN target WHEN step = 1 THEN stem || '_20240131.csv'
     ELSE stem || '_20240131_' || printf('%03d', step - 1) || '.csv' END AS name
-  FROM (SELECT target, stem, unnest(range(0, max(request) + 10)) AS step FROM asked GROUP BY ALL)
+  FROM (SELECT target, stem, unnest(range(0, most + 10)) AS step
+    FROM (SELECT target, stem, max(request) AS most FROM asked GROUP BY target, stem))
 ),
 free AS (
   SELECT target, name, row_number() OVER (PARTITION BY target ORDER BY step) AS request
