@@ -131,7 +131,6 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_slices(batch, 2):
             n = part.num_rows
             value, sizes = shingle_sets(pa.concat_arrays([part.column(2), part.column(3)]))
-            ends = np.cumsum(sizes)
             # Tag each hash with its pair; what occurs twice is shared.
             owner = np.repeat(np.tile(np.arange(n, dtype=np.uint64), 2), sizes)
             order = np.lexsort((value, owner))
@@ -139,7 +138,6 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             twice = (o[1:] == o[:-1]) & (v[1:] == v[:-1])
             shared = np.bincount(o[1:][twice].astype(np.int64), minlength=n)
             total = sizes[:n] + sizes[n:] - shared
-            assert len(ends) == 2 * n
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
 
 

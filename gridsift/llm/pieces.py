@@ -148,7 +148,8 @@ class Lattice:
             for k in range(0, len(group), step):
                 own = group[k : k + step]
                 if size <= SHORT:
-                    found = self._filter(data, starts[own], int(size))
+                    block = data[starts[own][:, None] + np.arange(size)].reshape(-1)
+                    found = self._filter(block, np.arange(len(own)) * int(size), int(size))
                 else:
                     found = self._filter_long(data[starts[own[0]] : starts[own[0]] + size].tobytes())
                 slots[own] = done + np.arange(len(own))

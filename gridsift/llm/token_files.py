@@ -35,8 +35,8 @@ from gridsift.llm.words import LOWER, find_words, small_slices, span_hashes, tex
 END_ID = 2
 BLOCK_IDS = 1 << 21
 BLOCKS_PER_FILE = 16
-CACHED_WORDS = 1 << 20
-SLICE_BYTES = 8 << 20
+CACHED_WORDS = 1 << 19
+SLICE_BYTES = 4 << 20
 
 HEAD = struct.Struct("<4sIQIIIQI")
 LENGTHS = np.array([[(c >> (2 * k)) & 3 for k in range(4)] for c in range(256)], np.uint8) + np.uint8(1)
