@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -25,6 +27,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="gridsift-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
@@ -56,6 +59,12 @@ def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return [plain(name[len(prefix):]) for name in names if name.startswith(prefix)]
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that exists when the application ends."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
+
+
 def move_file(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a file within its file system, making the folder; false if there is nothing to move."""
     path = spark._jvm.org.apache.hadoop.fs.Path
