@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridsift.llm import exact_dedup, language, minhash, mixing, pieces, quality_gam, quality_rules, secrets, token_files, warc
 from gridsift.llm.shared import new_folder
+from gridsift.session import delete_at_end
 
 QUERIES, SQL = {}, {}
 
@@ -35,6 +36,7 @@ def query(sql: str | None = None):
 def op1_token_files(spark, sf_dir):
     folder = new_folder(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer("word_bpe_49k.json"))
+    delete_at_end(spark, folder)
     return token_files.token_table(spark, folder)
 
 
@@ -84,6 +86,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 def op4_warc_archives(spark, sf_dir):
     folder = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    delete_at_end(spark, folder)
     return warc.record_table(warc.read_chunks(spark, folder, with_data=False))
 
 

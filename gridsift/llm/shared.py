@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsift.session import checkpoint_dir
+from gridsift.session import checkpoint_dir, delete_at_end
 
 PART = "_part"
 
@@ -19,9 +19,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def saved(df: DataFrame, label: str = "table") -> DataFrame:
-    """``df`` written once to the shared folder and read from there: it survives lost executors."""
+    """``df`` written once to the shared folder and read from there: it survives lost executors.
+
+    The folder goes when the application ends.
+    """
     path = new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
