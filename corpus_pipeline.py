@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from gridsift.llm import exact_dedup, minhash, mixing, pieces, quality_rules
 from gridsift.llm.catalog import table, tokenizer
-from gridsift.llm.shared import new_folder
+from gridsift.llm.shared import saved
 
 
 def passing_quality(spark, docs, sf_dir):
@@ -46,7 +46,5 @@ def run(spark, sf_dir):
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = new_folder(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
