@@ -7,8 +7,8 @@ samples whole segmentations in proportion to the product of their piece weights.
 piece of rank r weighs (1 + r) ** -sharpness, as the vocabulary is in order of rank.
 
 Pieces hold a word mark only in front, so lattices fall apart at word starts, exactly:
-the forward sums of each distinct chunk are taken once and kept, and only the draws are
-made per occurrence.  A draw is a hash of seed, row key, number of the chunk in the text
+the forward sums of each distinct chunk of a slice of texts are taken once, many chunks
+at a time along a trie of the pieces, and only the draws are made per occurrence.  A draw is a hash of seed, row key, number of the chunk in the text
 and number of the draw, so it depends on nothing else.
 
 Spaces stand as one byte that UTF-8 never has, so a literal word mark, a line feed and
@@ -34,13 +34,12 @@ SEED = 1
 MARK = 0xFF
 #: Chunks of up to so many bytes are filtered many at a time.
 SHORT = 32
-CACHED_CHUNKS = 1 << 18
-CELLS = 1 << 21
+CELLS = 1 << 20
 BYTE_WEIGHT = -30.0
 
 
 class Lattice:
-    """Pieces of a model file, and the forward sums of the chunks met so far."""
+    """Pieces of a model file, and the lattices of texts."""
 
     def __init__(self, path: str, sharpness: float = SHARPNESS):
         import sentencepiece
@@ -66,45 +65,53 @@ class Lattice:
         # Every byte can stand alone as a byte piece, unless it is a piece itself.
         self.alone = np.array([known.get(bytes([b]), (int(self.byte_id[b]), BYTE_WEIGHT))[0] for b in range(256)])
         self.alone_weight = np.array([known.get(bytes([b]), (0, BYTE_WEIGHT))[1] for b in range(256)])
-        texts = [t for t in known if len(t) > 1]
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
-        keys = span_hashes(flat, ends - [len(t) for t in texts], ends)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ids = np.array([known[t][0] for t in texts])[order]
-        self.weights = np.array([known[t][1] for t in texts])[order]
         inside = np.zeros(256, bool)
         inside[list(set(b"".join(known)))] = True
         self.breaks = ~inside
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.lengths = np.array([len(x) for x in self.bytes_of])
         self.at = np.cumsum(self.lengths) - self.lengths
-        self._forget()
-
-    def _forget(self) -> None:
-        """Kept chunks: ``row[slot] + end`` is the row of a place, ``edge[row]:edge[row + 1]`` its ways in."""
-        self.slots: dict[int, int] = {}
-        self.row = np.zeros(0, np.int64)
-        self.edge = np.zeros(1, np.int64)
-        self.upto, self.way, self.back = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
-
-    def _filter(self, data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-        """Ways into each place 1 .. ``size`` of chunks of one length: count per place, then share summed up, id and length."""
-        n, most = len(starts), min(size, self.longest)
-        total = np.full((n, size + 1), -np.inf)
-        total[:, 0] = 0
+        self._plant()
+
+    def _plant(self) -> None:
+        """The trie of the pieces: ``next[node, sign]`` (0: none, 1: the root), and the piece that ends at a node."""
+        signs = sorted(set(b"".join(self.known)))
+        self.sign = np.full(256, len(signs), np.int64)
+        self.sign[signs] = np.arange(len(signs))
+        children: list[dict[int, int]] = [{}, {}]
+        ends: dict[int, tuple[int, float]] = {}
+        for text, piece in self.known.items():
+            node = 1
+            for byte in text:
+                if byte not in children[node]:
+                    children[node][byte] = len(children)
+                    children.append({})
+                node = children[node][byte]
+            ends[node] = piece
+        self.next = np.zeros((len(children), len(signs) + 1), np.int32)
+        for node, own in enumerate(children):
+            for byte, child in own.items():
+                self.next[node, self.sign[byte]] = child
+        self.ids, self.weights = np.zeros(len(children), np.int32), np.full(len(children), -np.inf)
+        for node, (piece, weight) in ends.items():
+            self.ids[node], self.weights[node] = piece, weight
+
+    def _filter(self, block: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ways into each place of chunks of one length (rows): count per place, then share summed up, id and length."""
+        n, size = block.shape
+        most = min(size, self.longest)
         weight = np.full((n, size, most), -np.inf)
         ids = np.zeros((n, size, most), np.int32)
+        sign, node = self.sign[block], np.ones((n, size), np.int32)
+        for length in range(1, most + 1):
+            node = self.next[node[:, : size - length + 1], sign[:, length - 1 :]]
+            if not node.any():
+                break
+            weight[:, length - 1 :, length - 1], ids[:, length - 1 :, length - 1] = self.weights[node], self.ids[node]
+        weight[:, :, 0], ids[:, :, 0] = self.alone_weight[block], self.alone[block]
+        total = np.full((n, size + 1), -np.inf)
+        total[:, 0] = 0
         for end in range(1, size + 1):
-            last = data[starts + end - 1]
-            weight[:, end - 1, 0], ids[:, end - 1, 0] = self.alone_weight[last], self.alone[last]
-            for length in range(2, min(end, most) + 1):
-                keys = span_hashes(data, starts + end - length, starts + end)
-                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                here = self.keys[at] == keys
-                weight[here, end - 1, length - 1] = self.weights[at[here]]
-                ids[here, end - 1, length - 1] = self.ids[at[here]]
             width = min(end, most)
             ways = weight[:, end - 1, :width] + total[:, end - width : end][:, ::-1]
             top = ways.max(axis=1)
@@ -137,31 +144,24 @@ class Lattice:
             back += [f[2] for f, s in zip(found, some, strict=True) if s]
         return np.array(counts), np.concatenate(upto), np.array(way, np.int32), np.array(back, np.int32)
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Keep chunks; their slots."""
-        slots = np.empty(len(starts), np.int64)
-        rows, counts, parts = [self.row], [], []
-        done, base = len(self.row), len(self.edge) - 1
-        for size in np.unique(sizes):
+    def _ways(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ways into the places of chunks: ``base[chunk] + end - 1`` is the row of a place, ``edge[row]:edge[row + 1]`` its ways."""
+        base, counts, parts, rows = np.empty(len(starts), np.int64), [], [], 0
+        for size in np.unique(sizes).tolist():
             group = np.flatnonzero(sizes == size)
-            step = max(1, int(CELLS // (size * min(size, self.longest)))) if size <= SHORT else 1
+            step = max(1, CELLS // (size * min(size, self.longest))) if size <= SHORT else 1
             for k in range(0, len(group), step):
                 own = group[k : k + step]
                 if size <= SHORT:
-                    block = data[starts[own][:, None] + np.arange(size)].reshape(-1)
-                    found = self._filter(block, np.arange(len(own)) * int(size), int(size))
+                    found = self._filter(data[starts[own][:, None] + np.arange(size)])
                 else:
                     found = self._filter_long(data[starts[own[0]] : starts[own[0]] + size].tobytes())
-                slots[own] = done + np.arange(len(own))
-                rows.append(base + np.arange(len(own)) * size)
+                base[own] = rows + np.arange(len(own)) * size
                 counts.append(found[0])
                 parts.append(found[1:])
-                done, base = done + len(own), base + len(own) * size
-        self.row = np.concatenate(rows)
-        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(np.concatenate(counts))])
-        upto, way, back = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.upto, self.way, self.back = np.concatenate([self.upto, upto]), np.concatenate([self.way, way]), np.concatenate([self.back, back])
-        return slots
+                rows += len(own) * size
+        edge = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
+        return base, edge, *(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start of each chunk (and the end of all), and the first chunk of each text.  Every text begins with a mark."""
@@ -179,19 +179,14 @@ class Lattice:
         offsets = offsets + np.arange(len(offsets))
         starts, ends, first = self.chunks(data, offsets)
         code, distinct = pd.factorize(span_hashes(data, starts, ends))
-        if len(self.slots) + len(distinct) > CACHED_CHUNKS:
-            self._forget()
         where = np.zeros(len(distinct), np.int64)
         where[code[::-1]] = np.arange(len(code))[::-1]
-        slots = np.fromiter((self.slots.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
-        if (new := np.flatnonzero(slots < 0)).size:
-            slots[new] = self._learn(data, starts[where[new]], (ends - starts)[where[new]])
-            self.slots.update(zip(distinct[new].tolist(), slots[new].tolist(), strict=True))
+        base, edge, share, way, back = self._ways(data, starts[where], (ends - starts)[where])
 
         counts = np.diff(first)
         number = np.arange(len(starts)) - np.repeat(first[:-1], counts)
         noise = mix(np.repeat(seeded(keys.astype(np.int64).view(np.uint64), seed), counts) + mix(number.astype(np.uint64)))
-        base, left = self.row[slots[code]], ends - starts
+        base, left = base[code], ends - starts
         live = np.arange(len(starts))
         drawn, pieces = [], np.zeros(len(starts), np.int64)
         step = 0
@@ -199,21 +194,21 @@ class Lattice:
             step += 1
             u = (seeded(noise[live], step) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             row = base[live] + left[live] - 1
-            at, last = self.edge[row], self.edge[row + 1] - 1
-            open_ = np.flatnonzero((at < last) & (self.upto[at] <= u))
+            at, last = edge[row], edge[row + 1] - 1
+            open_ = np.flatnonzero((at < last) & (share[at] <= u))
             while len(open_):
                 at[open_] += 1
-                open_ = open_[(at[open_] < last[open_]) & (self.upto[at[open_]] <= u[open_])]
-            drawn.append((live, self.way[at]))
+                open_ = open_[(at[open_] < last[open_]) & (share[at[open_]] <= u[open_])]
+            drawn.append((live, way[at]))
             pieces[live] += 1
-            left[live] -= self.back[at]
+            left[live] -= back[at]
             live = live[left[live] > 0]
         upto = np.concatenate([[0], np.cumsum(pieces)])
         ids = np.empty(upto[-1], np.int32)
         # Draws go from the end of a chunk to its start.
         place = upto[1:] - 1
-        for chunk, way in drawn:
-            ids[place[chunk]] = way
+        for chunk, drawn_ids in drawn:
+            ids[place[chunk]] = drawn_ids
             place[chunk] -= 1
         return ids, np.diff(upto[first])
 
@@ -242,7 +237,7 @@ def _encoded(path: str, sharpness: float, seed: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path, sharpness)
         for batch in batches:
-            for part in small_slices(batch, 1, 2 << 20):
+            for part in small_slices(batch, 1, 1 << 20):
                 ids, counts = own.encode(part.column(1), part.column(0).fill_null(0).to_numpy(), seed)
                 data, offsets = text_buffers(part.column(1))
                 back, edges = own.decode(ids, counts)

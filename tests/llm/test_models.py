@@ -278,7 +278,7 @@ def test_pieces_round_trip(spark):
     assert [r["text"] for r in pieces.decode(nulls, model).collect()] == ["", ""]
 
 
-def test_kept_chunks_do_not_change_samples(lattice):
+def test_neighbours_do_not_change_samples(lattice):
     fresh = pieces.Lattice(catalog.tokenizer("piece_bpe_32k.model"))
     texts, keys = pa.array(TEXTS), np.arange(len(TEXTS))
     want = lattice.encode(texts, keys)[0]
