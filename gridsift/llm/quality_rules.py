@@ -55,7 +55,8 @@ def linear_scores(grams: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarra
     """Sum over the kinds of the mean weight of a text's n-grams."""
     score = 0.0
     for number, edges in grams:
-        upto = np.concatenate([[0.0], np.cumsum(weights[number])])
+        # In double precision: a text's score must not depend on the texts before it.
+        upto = np.concatenate([[0.0], np.cumsum(weights[number], dtype=np.float64)])
         count = np.diff(edges)
         score = score + np.diff(upto[edges]) / np.maximum(count, 1)
     return score

@@ -78,6 +78,10 @@ def test_linear_scores_are_means_of_weights():
     assert [np.diff(e).tolist() for _, e in grams] == [[3, 0, 1, 9, 0], [2, 0, 1, 4, 0], [1, 0, 0, 3, 0]]
     alone = [quality_rules.linear_scores(quality_rules.n_grams(*measures.base_measures(pa.array([t], pa.string()))[:2]), weights)[0] for t in texts]
     assert np.allclose(quality_rules.linear_scores(grams, weights), alone)
+    many = ["xyz " * 200_000, *texts]
+    single = weights.astype(np.float32)
+    late = quality_rules.linear_scores(quality_rules.n_grams(*measures.base_measures(pa.array(many))[:2]), single)[1:]
+    assert np.allclose(late, quality_rules.linear_scores(grams, single), rtol=0, atol=1e-9)
 
 
 def test_platt_gives_probabilities():
