@@ -6,10 +6,13 @@ the last piece in proportion to its share, then the one before it, and so on, wh
 samples whole segmentations in proportion to the product of their piece weights.  A
 piece of rank r weighs (1 + r) ** -sharpness, as the vocabulary is in order of rank.
 
-Pieces hold a word mark only in front, so lattices fall apart at word starts, exactly:
-the forward sums of each distinct chunk of a slice of texts are taken once, many chunks
-at a time along a trie of the pieces, and only the draws are made per occurrence.  A draw is a hash of seed, row key, number of the chunk in the text
-and number of the draw, so it depends on nothing else.
+Some pieces are runs of word marks, and no piece has a mark behind another sign, so
+lattices fall apart where a run of marks begins, exactly (a run and the word behind it
+are one chunk; for a model with other pieces, marks open no chunk).  The forward sums of
+each distinct chunk of a slice of texts are taken once, many chunks at a time along a
+trie of the pieces, and only the draws are made per occurrence.  A draw is a hash of
+seed, row key, number of the chunk in the text and number of the draw, so it depends on
+nothing else.
 
 Spaces stand as one byte that UTF-8 never has, so a literal word mark, a line feed and
 all that no piece covers go through byte pieces, and every text decodes to itself.
@@ -54,10 +57,10 @@ class Lattice:
                 value = int(piece[3:5], 16)
                 self.byte_id[value] = i
                 self.bytes_of.append(bytes([value]))
-            elif model.is_control(i) or model.is_unknown(i) or "▁" in piece[1:]:
+            elif model.is_control(i) or model.is_unknown(i):
                 self.bytes_of.append(b"")
             else:
-                text = (bytes([MARK]) + piece[1:].encode()) if piece[0] == "▁" else piece.encode()
+                text = piece.encode().replace("▁".encode(), bytes([MARK]))
                 self.bytes_of.append(text)
                 known.setdefault(text, (i, -sharpness * float(np.log1p(i))))
         self.known = known
@@ -68,6 +71,7 @@ class Lattice:
         inside = np.zeros(256, bool)
         inside[list(set(b"".join(known)))] = True
         self.breaks = ~inside
+        self.marks_open = not any(bytes([MARK]) in x.lstrip(bytes([MARK])) for x in known)
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.lengths = np.array([len(x) for x in self.bytes_of])
         self.at = np.cumsum(self.lengths) - self.lengths
@@ -166,8 +170,9 @@ class Lattice:
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start of each chunk (and the end of all), and the first chunk of each text.  Every text begins with a mark."""
         cut = self.breaks[data]
-        opens = (data == MARK) | cut
-        opens[1:] |= cut[:-1]
+        mark = (data == MARK) & self.marks_open
+        opens = mark | cut
+        opens[1:] = (mark[1:] & ~mark[:-1]) | cut[1:] | cut[:-1]
         opens[offsets[:-1]] = True
         starts = np.flatnonzero(opens)
         return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
