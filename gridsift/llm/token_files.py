@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,6 +46,13 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
+def _places(data: bytes, wanted: bytes) -> Iterator[int]:
+    at = data.find(wanted)
+    while at >= 0:
+        yield at
+        at = data.find(wanted, at + 1)
+
+
 class Encoder:
     """Token ids of whole texts from a ``tokenizers`` file, without special tokens.
 
@@ -52,8 +60,10 @@ class Encoder:
     those that split before and lower-case do): every distinct word is given to the
     library once and its ids are kept.  Only ASCII words are lower-cased beforehand,
     and a last full stop or comma is cut off only behind an ASCII letter or digit;
-    neither changes what the library returns.  At most ``CACHED_WORDS`` words and one
-    slice are held.
+    words with the text of an added token, in any letter case, stay as they are, since
+    the library looks for these before it lower-cases.  So neither changes what the
+    library returns.  Texts stay whole if an added token holds white space.  At most
+    ``CACHED_WORDS`` words and one slice are held.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -61,8 +71,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.by_word = by_word
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word = by_word and not any(re.search(r"\s", x) for x in added)
+        self.added = [x.encode().lower() for x in added]
         self._forget()
 
     def _forget(self) -> None:
@@ -83,13 +94,18 @@ class Encoder:
         words = find_words(data, offsets)
         starts, ends = words.starts, words.ends
         high = np.concatenate([[0], np.cumsum(data >= 128)])
-        foreign = np.flatnonzero(high[ends] > high[starts])
+        added = np.zeros(len(starts), bool)
+        lower = LOWER[data]
+        # Texts stand side by side, so a match may run into the next one: all places count.
+        places = np.array([k for x in self.added for k in _places(lower.tobytes(), x)], np.int64)
+        added[np.searchsorted(starts, places, "right") - 1] = True
+        foreign = np.flatnonzero((high[ends] > high[starts]) | added)
         steps = np.zeros(len(data) + 1, np.int8)
         steps[starts[foreign]] += 1
         steps[ends[foreign]] -= 1
-        data = np.where(np.cumsum(steps[:-1], dtype=np.int8) > 0, data, LOWER[data])
+        data = np.where(np.cumsum(steps[:-1], dtype=np.int8) > 0, data, lower)
         last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
-        cut = np.flatnonzero((ends - starts > 1) & ((last == 46) | (last == 44)) & ALNUM[data[np.maximum(ends - 2, 0)]])
+        cut = np.flatnonzero(~added & (ends - starts > 1) & ((last == 46) | (last == 44)) & ALNUM[data[np.maximum(ends - 2, 0)]])
         first = words.first + np.searchsorted(cut, words.first)
         starts, ends = np.insert(starts, cut + 1, ends[cut] - 1), np.insert(ends, cut, ends[cut] - 1)
 
