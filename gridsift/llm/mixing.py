@@ -58,6 +58,7 @@ def mix(
     share: float = SHARE,
     most: int = MOST,
     seed: str = "mix",
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken, copies.
 
@@ -67,12 +68,16 @@ def mix(
     the cut to whole documents.  Sources are ordered by code point, a null source
     last.  The order within a source is the MD5 of seed and id, then the id; rows
     that repeat an id are cut together in any order.  Sources without words get target 0.
+    ``row_col`` names a column of row numbers that is to stand in the result: it tells
+    rows of one id (or of no id) apart.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     name = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
-    sized = saved(docs.select(F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), name.alias("source_key"), key.alias("key")), "sized")
+    row = ["row"] if row_col else []
+    own = [F.col(row_col).alias("row")] if row_col else []
+    sized = saved(docs.select(F.col(id_col).alias("id"), words_in(F.col(text_col)).alias("size"), name.alias("source_key"), key.alias("key"), *own), "sized")
     targets = budgets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most)
-    placed = running_sums(sized, ["source_key"], ["key", "id", "size"], {"size": "before"})
+    placed = running_sums(sized, ["source_key"], ["key", "id", "size", *row], {"size": "before"})
     # One row per source; where sources are many, the join is a shuffle on both sides and splits large ones at run time.
     both = placed.join(targets, "source_key")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -83,11 +88,17 @@ def mix(
     return both.select(
         F.col("id").alias(id_col), "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), (F.col("epochs") + more).alias("copies"),
+        *[F.col(c).alias(row_col) for c in row],
     )
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **settings) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it whole (ids should be unique)."""
-    counts = mix(docs, id_col, source_col, text_col, **settings).select(F.col(id_col).alias("_id"), F.col("copies").alias("_copies"))
-    chosen = docs.join(counts.where("_copies > 0"), F.col(id_col).eqNullSafe(F.col("_id")))
+    """The mix itself: each row of ``docs`` as often as the mix takes it whole.
+
+    Rows are numbered once, and each meets its own copies by that number, so ids may
+    repeat or be null.
+    """
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    counts = mix(rows, id_col, source_col, text_col, row_col="_row", **settings).select("_row", F.col("copies").alias("_copies"))
+    chosen = rows.join(counts.where("_copies > 0"), "_row")
     return chosen.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
