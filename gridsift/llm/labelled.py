@@ -28,14 +28,17 @@ def label_sample(labels: DataFrame, label_col: str, rows: int, by_label: bool =
 
 
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]):
-    """What ``fit`` makes of the rows of a bounded sample, in one task (None of no rows); ``fit`` must order them itself."""
+    """What ``fit`` makes of the rows of a bounded sample, in one task (None of no rows); ``fit`` must order them itself.
+
+    The rows are shuffled to that task, so the scans before it stay with all tasks.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = [f for f in frames if len(f)]
         model = fit(pd.concat(whole, ignore_index=True)) if whole else None
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    row = sample.coalesce(1).mapInPandas(run, "model binary").first()
+    row = sample.repartition(1).mapInPandas(run, "model binary").first()
     return pickle.loads(row["model"]) if row else None
 
 
