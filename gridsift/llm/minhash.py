@@ -105,7 +105,7 @@ def _profiles(rows: int, bands: int):
             for part in small_slices(batch, 1):
                 value, sizes = shingle_sets(part.column(1))
                 ends = np.cumsum(sizes)
-                totals = [np.concatenate([[0], np.cumsum(seeded(value, 7001 + k))]).astype(np.uint64) for k in range(3)]
+                totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(seeded(value, 7001 + k))]) for k in range(3)]
                 first, second, third = ((s[ends] - s[ends - sizes]) for s in totals)
                 digest = np.stack([first, second], axis=1).astype("<u8").tobytes()
                 keys = band_keys(sketches(value, sizes, rows * bands), rows, bands)
@@ -225,7 +225,11 @@ def near_duplicates(
     spokes = saved(spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
     same = F.expr(f"{denominator} * shared >= {numerator} * total")
     near = saved(join_small(texts, live.select("id").distinct(), ["id"], "left_semi"), "texts")
-    links = saved(verified(spokes, near).where(same).select("a", "b").distinct(), "verified")
+    # A document of several texts belongs to the classes of all of them.
+    own = classes.where("n_shingles > 0 AND id IS NOT NULL").select("id", "rep")
+    several = own.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id")
+    own = join_small(own, several, ["id"], "left_semi").where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
+    links = saved(verified(spokes, near).where(same).select("a", "b").unionByName(own).distinct(), "verified")
     found = saved(components(links), "components")
 
     # What a bucket still holds of different components is compared across them, through rare shingles.
