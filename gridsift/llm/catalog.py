@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridsift.llm import exact_dedup, language, minhash, mixing, pieces, quality_gam, quality_rules, secrets, token_files, warc
 from gridsift.llm.shared import new_folder
@@ -117,7 +118,10 @@ def op8_exact_dedup(spark, sf_dir):
 
 @query()
 def op9_sampled_pieces(spark, sf_dir):
-    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
+    model = tokenizer("piece_bpe_32k.model")
+    rows = pieces.encode(table(spark, sf_dir, "documents"), model)
+    back = pieces.decode(rows, model, keep=["n_pieces", "ids_crc32", "ids"])
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"), "ids")
 
 
 @query()

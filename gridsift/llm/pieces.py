@@ -21,7 +21,7 @@ all that no piece covers go through byte pieces, and every text decodes to itsel
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,8 @@ MARK = 0xFF
 #: Chunks of up to so many bytes are filtered many at a time.
 SHORT = 32
 CELLS = 1 << 20
+#: So many ids are decoded at a time (of one row at least).
+DECODED_IDS = 1 << 18
 BYTE_WEIGHT = -30.0
 
 
@@ -276,19 +278,29 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return slim.mapInArrow(_encoded(model, sharpness, seed, with_ids), kinds).withColumnRenamed("id", id_col)
 
 
-def _decoded(path: str):
+def _decoded(path: str, kept: list[str]):
+    """(id, ids, ...) batches to id, text and the columns ``kept``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path)
         for batch in batches:
-            lists = batch.column(1)
-            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data, edges = own.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b].decode() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())], ["id", "text"])
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, upto[at] + DECODED_IDS, "right")) - 1)
+                part, counts = batch.slice(at, end - at), np.diff(upto[at : end + 1])
+                data, edges = own.decode(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                raw = data.tobytes()
+                texts = [raw[a:b].decode() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *(part.column(c) for c in kept)], ["id", "text", *kept])
+                at = end
 
     return run
 
 
-def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Texts of encoded rows: id and text (null or no ids: an empty text)."""
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(_decoded(model), "id long, text string").withColumnRenamed("id", id_col)
+def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids", keep: Sequence[str] = ()) -> DataFrame:
+    """Texts of encoded rows: id, text (null or no ids: an empty text) and the columns ``keep``, which may name the ids."""
+    given = [ids_col, *(c for c in keep if c != ids_col)]
+    slim = encoded.select(F.col(id_col).cast("long").alias("id"), *given)
+    kinds = ", ".join(["id long", "text string", *(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)])
+    return slim.mapInArrow(_decoded(model, list(keep)), kinds).withColumnRenamed("id", id_col)
