@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsift.llm import exact_dedup, language, minhash, mixing, pieces, quality_gam, quality_rules, secrets, token_files, warc
+from gridsift.llm import bpe, exact_dedup, language, minhash, mixing, negatives, pieces, quality_gam, quality_rules, secrets, token_files, warc, whitening
 from gridsift.llm.shared import new_folder
 from gridsift.session import delete_at_end
 
@@ -128,3 +128,34 @@ def op9_sampled_pieces(spark, sf_dir):
 def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.languages(docs, language.train(docs))
+
+
+@query()
+def op11_whitening(spark, sf_dir):
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query()
+def op12_byte_bpe(spark, sf_dir):
+    path = tokenizer("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path, keep=["n_tokens", "ids"])
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", "n_tokens", F.sha2(said.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS x FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+u AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM v WHERE len(x) = (SELECT len(x) FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+s AS (SELECT a.k AS a, a.id AS anchor_id, b.k AS b, b.id AS id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM u a JOIN u b ON a.id % 100 = 0 AND a.k <> b.k),
+p AS (SELECT a, anchor_id, b, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id) AS rank
+    FROM p JOIN s ON s.a = p.a AND NOT s.same AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label))

@@ -10,7 +10,7 @@ from tests.conftest import SF
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = duck.execute(catalog.SQL[name])
     names = [d[0] for d in want.description]
@@ -21,4 +21,4 @@ def test_query(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in catalog.QUERIES) == list(range(1, 14))
