@@ -29,7 +29,7 @@ from gridsift.session import ship_package
 
 # Fixed values of the pre-tokenizer.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-SPACES = r"[\x09-\x0D\x20\x85\xA0  -     　]"
+SPACES = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SLICE_BYTES = 2 << 20
