@@ -160,18 +160,6 @@ def test_token_files(spark):
     assert token_files.token_table(spark, empty).count() == 0
 
 
-def test_words_encode_as_whole_texts():
-    encoder = token_files.Encoder(catalog.tokenizer("word_bpe_49k.json"))
-    odd = ["J̌ ǰ J̌. İ i̇ ab., a.b, 1,2. it's, DON'T. ﬁ, ́x .́ a B. <|endoftext|> a<|endoftext|>."] + TEXTS
-    ids, counts = encoder.encode(pa.array(odd))
-    again = encoder.encode(pa.array(odd))
-    encoder.tokenizer.encode_special_tokens = False
-    ends = np.cumsum(counts)
-    want = [x[:-1] for x in encoded(odd)]
-    got = [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)]
-    assert got[1:] == want[1:] and (again[0] == ids).all()
-
-
 def test_blocks_of_wide_ranks():
     ids = np.concatenate([np.arange(70000), np.zeros(5)]).astype(np.uint32)
     block = token_files.pack_block(ids, np.array([5, 9]), np.array([False, True]), np.array([70000, 5]), 3, 1) + b"\n"

@@ -194,20 +194,44 @@ def test_trigram_queries():
     assert query("(foo)*bar") == b"bar" and query("(foo)+[0-9]*") == b"foo"
 
 
-def plain_sample(lattice, text, key, seed):
-    """Forward filtering and backward sampling place by place, with the same draws."""
-    data = bytes([pieces.MARK]) + (text or "").encode().replace(b" ", bytes([pieces.MARK]))
+def model_pieces():
+    """Weights and ids of the pieces of the model file, marks as one byte, and the ids of single bytes."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=catalog.tokenizer("piece_bpe_32k.model"))
+    weights, single = {}, {}
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            single[bytes([int(piece[3:5], 16)])] = i
+        elif not (model.is_control(i) or model.is_unknown(i)):
+            weights.setdefault(piece.encode().replace("▁".encode(), bytes([pieces.MARK])), (-float(np.log1p(i)), i))
+    return weights, single
+
+
+def plain_sample(weights, single, text, key, seed):
+    """Forward filtering and backward sampling place by place, with the same draws.
+
+    A run of marks and the word behind it are one chunk, cut further at bytes that are in no piece.
+    """
+    mark, data = pieces.MARK, bytes([pieces.MARK]) + (text or "").encode().replace(b" ", bytes([pieces.MARK]))
+    inside = set(b"".join(weights))
     chunks, at = [], 0
     for k in range(1, len(data) + 1):
-        if k == len(data) or data[k] == pieces.MARK or lattice.breaks[data[k]] or lattice.breaks[data[k - 1]]:
+        if k == len(data) or (data[k] == mark and data[k - 1] != mark) or data[k] not in inside or data[k - 1] not in inside:
             chunks.append(data[at:k])
             at = k
     out = []
     for number, chunk in enumerate(chunks):
         ways, total = [[]], [0.0]
         for end in range(1, len(chunk) + 1):
-            own = [(lattice.alone_weight[chunk[end - 1]] + total[end - 1], lattice.alone[chunk[end - 1]], 1)]
-            own += [(lattice.known[chunk[s:end]][1] + total[s], lattice.known[chunk[s:end]][0], end - s) for s in range(end - 2, -1, -1) if chunk[s:end] in lattice.known]
+            own = []
+            for s in range(end - 1, -1, -1):
+                piece = chunk[s:end]
+                if piece in weights:
+                    own.append((weights[piece][0] + total[s], weights[piece][1], end - s))
+                elif len(piece) == 1:
+                    own.append((pieces.BYTE_WEIGHT + total[s], single[piece], 1))
             total.append(float(np.log(sum(np.exp(w[0]) for w in own))))
             ways.append([(np.exp(w[0] - total[-1]), w[1], w[2]) for w in own])
         noise = mix(seeded(np.array([key], np.int64).view(np.uint64), seed) + mix(np.array([number], np.uint64)))
@@ -238,8 +262,9 @@ def test_pieces_sample_as_the_plain_form(lattice):
     keys = np.arange(len(texts)) * 7 - 3
     ids, counts = lattice.encode(pa.array(texts), keys, 5)
     ends = np.cumsum(counts)
+    weights, single = model_pieces()
     for k, t in enumerate(texts):
-        assert ids[ends[k] - counts[k] : ends[k]].tolist() == plain_sample(lattice, t, int(keys[k]), 5)
+        assert ids[ends[k] - counts[k] : ends[k]].tolist() == plain_sample(weights, single, t, int(keys[k]), 5)
 
 
 def test_pieces_are_sampled_by_weight(lattice):
