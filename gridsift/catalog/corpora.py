@@ -198,7 +198,7 @@ def grid_sql(sheets: tuple[Sheet, ...]) -> str:
             )
             parts.append(f"SELECT DISTINCT {sheet.table_id}, CAST(0 AS BIGINT), [{names}] FROM {sheet.table}")
     union = "\n  UNION ALL ".join(parts)
-    return f"""raw_grid AS (
+    return f"""raw_grid AS MATERIALIZED (
   {union}
 ),
 grid AS (
@@ -208,6 +208,6 @@ grid AS (
   ) - 1 AS rank
   FROM raw_grid
 ),
-cells AS (
+cells AS MATERIALIZED (
   SELECT table_id, row_idx, rank, unnest(range(len(cells))) AS col_idx, unnest(cells) AS value FROM grid
 )"""

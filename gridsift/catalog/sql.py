@@ -175,7 +175,7 @@ consistent AS (
 HEADERS = f"""candidates AS (
   SELECT table_id, rank, col_idx, coalesce({strip('value')}, '') AS name FROM cells WHERE rank < 5
 ),
-firsts AS (
+firsts AS MATERIALIZED (
   SELECT table_id, col_idx, rank, value FROM cells WHERE value IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY table_id, col_idx ORDER BY rank) <= 8
 ),

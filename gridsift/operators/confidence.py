@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsift.functions import fixed
-from gridsift.operators.consistency import score_columns, table_consistency
+from gridsift.operators.consistency import column_consistency, needs_distinct, table_consistency
 from gridsift.operators.density import density_score
 from gridsift.operators.grid import GridSource, corpus_grid, head_rows
-from gridsift.operators.headers import best_header_row, header_cells, header_quality, header_rows
-from gridsift.operators.profile import column_profile, table_profile
+from gridsift.operators.headers import EARLY_VALUES, best_header_row, header_quality, header_rows, score_cells
+from gridsift.operators.profile import column_profile, distinct_counts, first_values, table_profile
 from gridsift.session import materialize
 from gridsift.settings import ScoreSettings
 
@@ -42,6 +42,14 @@ class Profile:
         """The first rows of every table, ranked."""
         return materialize(head_rows(self.grid, TOP_ROWS, self.dense, self.sources))
 
+    def early(self, columns: DataFrame) -> DataFrame:
+        """The first values of the given columns, as ``first_values`` has them."""
+        return first_values(self.grid, EARLY_VALUES, columns, self.top, self.sources)
+
+    def distinct(self, wanted: DataFrame) -> DataFrame:
+        """Numbers of distinct values of the wanted columns."""
+        return distinct_counts(self.grid, wanted, self.sources)
+
 
 def profile(grid: DataFrame | Sequence[GridSource]) -> Profile:
     """Run the profile pass and keep its small result.
@@ -97,8 +105,9 @@ def confidence(
     passed = checked.where(F.col("gate_reason").isNull()).select("table_id")
     columns = known.columns.join(passed, "table_id", "left_semi")
 
-    headers = header_quality(best_header_row(header_rows(header_cells(known.grid, columns, known.top, known.sources))))
-    scores = table_consistency(score_columns(known.grid, columns, known.sources))
+    headers = header_quality(best_header_row(header_rows(score_cells(known.early(columns), known.top))))
+    counts = known.distinct(needs_distinct(columns))
+    scores = table_consistency(column_consistency(columns.join(counts, ["table_id", "col_idx"], "left")))
     density = density_score(known.tables, settings.max_empty)
 
     frame = (

@@ -24,6 +24,8 @@ from gridsift.operators.profile import first_values
 
 CANDIDATE_ROWS = 5
 BELOW = 3
+#: So many first values of a column decide on its header.
+EARLY_VALUES = CANDIDATE_ROWS + BELOW
 
 # Words that make a cell look like a label, and words that promise
 # a kind of data below.
@@ -54,9 +56,15 @@ def header_cells(
     """Score of every cell of the first five rows as a column header.
 
     ``top`` holds at least the first five rows of every table (``head_rows``).
+    """
+    return score_cells(first_values(grid, EARLY_VALUES, columns, top, sources), top)
+
+
+def score_cells(values: DataFrame, top: DataFrame) -> DataFrame:
+    """The same from the first ``EARLY_VALUES`` values of every column (``first_values``).
+
     Returns ``table_id, rank, col_idx, name, tenths, good``.
     """
-    values = first_values(grid, CANDIDATE_ROWS + BELOW, columns, top, sources)
     early = values.groupBy("table_id", "col_idx").agg(
         F.sort_array(F.collect_list(F.struct("nth", "rank", "value"))).alias("_early")
     )

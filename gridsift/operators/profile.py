@@ -150,7 +150,7 @@ def approx_distinct_counts(grid: DataFrame, wanted: DataFrame, rsd: float = 0.02
 
 
 def first_values(
-    grid: DataFrame, k: int, columns: DataFrame, top: DataFrame, sources: Sequence[GridSource] = ()
+    grid: DataFrame, k: int, columns: DataFrame, top: DataFrame, sources: Sequence[GridSource] = (), positions: bool = False
 ) -> DataFrame:
     """The first k non-null values of every column.
 
@@ -158,8 +158,9 @@ def first_values(
     have more values but not k of them up there are searched in the whole table;
     with ``sources`` only those columns are scanned.
     Returns ``table_id, col_idx, nth (1-based), rank, value``; ``rank`` is the row
-    number for rows of ``top`` and a large number beyond.
+    number for rows of ``top`` and a large number beyond.  With ``positions`` also ``row_idx``.
     """
+    extra = [] if positions else ["row_idx"]
     cells = top.select(
         "table_id", "row_idx", "rank", F.posexplode_outer("cells").alias("col_idx", "value")
     ).where(F.col("value").isNotNull())
@@ -175,7 +176,7 @@ def first_values(
     )
     short = materialize(short)
     if short.isEmpty():
-        return found.drop("row_idx")
+        return found.drop(*extra)
     if sources:
         grid = narrow_grid(sources, short.select("table_id", F.explode("_wanted").alias("col_idx")))
     # Where positions repeat, the last one on top may have more rows: it is searched again as a whole.
@@ -197,7 +198,7 @@ def first_values(
         found.unionByName(rest)
         .withColumn("nth", F.row_number().over(by_rank))
         .where(F.col("nth") <= k)
-        .drop("row_idx")
+        .drop(*extra)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridsift.session import materialize
@@ -13,10 +13,22 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 
 
+def _size():
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0)).alias("bytes")
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Text size of a frame, from one small aggregate."""
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))
-    return df.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
+    return df.agg(_size()).first()["bytes"]
+
+
+def kept_and_measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` computed once, and its text size, which the tasks take as they write it."""
+    told = Observation()
+    kept = materialize(df.observe(told, _size()))
+    size = told.get.get("bytes")
+    # A plan that is known to be empty loses its measure.
+    return kept, measured_bytes(kept) if size is None else size
 
 
 def join_small(
@@ -33,8 +45,8 @@ def join_small(
     the keys of ``big`` salted by input partition and ``small`` repeated per salt,
     so that a key holding a third of ``big`` is spread over many tasks.
     """
-    small = materialize(small)
-    if measured_bytes(small) <= limit:
+    small, size = kept_and_measured(small)
+    if size <= limit:
         return big.join(F.broadcast(small), list(on), how)
     salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -65,6 +65,12 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
 def move_file(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a file within its file system, making the folder; false if there is nothing to move."""
     path = spark._jvm.org.apache.hadoop.fs.Path

@@ -1,4 +1,4 @@
-"""File streams: ingest, per-batch judging and delivery, change and retry ledgers.
+"""File streams: ingest, judging and delivery of batches and of tables that grow.
 
 Every per-batch writer puts its result under ``batch_id=N`` with overwrite, so a
 batch that is replayed after a crash replaces its own output and nothing else.
@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from gridsift.functions import backoff, file_stem, match_glob
+from gridsift.functions import file_stem, match_glob
+from gridsift.operators import merging as M
 from gridsift.operators.confidence import confidence, profile
-from gridsift.session import materialize, path_exists
-from gridsift.settings import OutputSettings, RetrySettings, ScoreSettings, WatchSettings
+from gridsift.session import delete_folder, materialize, path_exists, subfolders
+from gridsift.settings import OutputSettings, ScoreSettings, WatchSettings
 from gridsift.sources.files import MEGABYTE, file_name, name_glob, too_large
 from gridsift.operators.ledger import file_outcome
 from gridsift.sources.writers import archive_inputs, deliver
@@ -89,6 +90,10 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
     return rows if before is None else rows.where(F.col("batch_id") < before)
 
 
+def _batch_numbers(spark: SparkSession, path: str) -> list[int]:
+    return [int(n) for n in subfolders(spark, path, "batch_id=")]
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -108,8 +113,8 @@ def judge_batches(
 ) -> Callable[[DataFrame, int], None]:
     """Callback that judges, cleans and delivers the tables of each micro-batch.
 
-    A table must be whole within a batch, as the sheets of a file are; a table whose
-    rows are spread over batches is judged once for each.  With ``archive`` the files
+    A table must be whole within a batch, as the sheets of a file are (``judge_growing``
+    is for others).  With ``archive`` the files
     (``path`` of ``path#sheet``) that succeeded move to that subfolder of their own.
 
     Tables named ``path#sheet`` are delivered as ``file_sheet.csv``, others under their
@@ -140,92 +145,102 @@ def judge_batches(
     return work
 
 
-CHANGE_SCHEMA = "path string, mtime timestamp"
+def kept_frames(spark: SparkSession, state_path: str, before: int | None = None) -> dict[str, DataFrame]:
+    """What the batches below number ``before`` (all, if None) left of the tables they saw."""
+    numbers = [n for n in _batch_numbers(spark, f"{state_path}/columns") if before is None or n < before]
+    known = {name: read_batches(spark, f"{state_path}/{name}", schema, before) for name, schema in M.SCHEMAS.items()}
+    last = F.col("batch_id") == F.lit(max(numbers, default=None))
+    return {name: (df.where(last) if name in M.SMALL else df).drop("batch_id") for name, df in known.items()}
 
 
-def changed_batches(ledger_path: str, on_change: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """Callback that keeps only file events newer than all processed before.
+def grow_profiles(
+    to_grid: Callable[[DataFrame], DataFrame], state_path: str, header: DataFrame | None = None, exact: bool = True
+) -> Callable[[DataFrame, int], None]:
+    """Callback that keeps merged profiles of tables whose rows are spread over batches.
+
+    The rows of a batch are profiled once and merged with what the batches before left
+    under ``state_path`` (``operators.merging``).  ``to_grid`` gives rows whose positions
+    order a table over all batches and do not repeat; ``header`` holds rows, such as a row
+    of names, that a table has in front and that join it with its first batch.
 
-    Takes ``path, mtime``.  Within a batch the newest event of a path counts.  If
-    ``on_change`` fails nothing is recorded, so the event is tried again.
+    The state has the size of the tables' columns, and is written anew by each batch; only
+    the distinct values of unsettled columns grow, by what a batch has.  With
+    ``exact=False`` these are estimated instead, and the state grows by tables only.  A
+    replayed batch starts from the state before it.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy("path").agg(F.max("mtime").alias("mtime"))
-        seen = read_batches(spark, ledger_path, CHANGE_SCHEMA, batch_id).groupBy("path").agg(
-            F.max("mtime").alias("_seen")
-        )
-        # The ledger grows with the run; a plain join lets the optimizer pick the side.
-        fresh = newest.join(seen, "path", "left")
-        fresh = fresh.where(F.col("_seen").isNull() | (F.col("mtime") > F.col("_seen"))).drop("_seen")
-        fresh = materialize(fresh)
-        if on_change is not None:
-            on_change(fresh, batch_id)
-        write_batch(fresh, ledger_path, batch_id)
+        known = kept_frames(spark, state_path, batch_id)
+        grid = to_grid(batch)
+        if header is not None:
+            new = grid.select("table_id").distinct().join(known["columns"].select("table_id").distinct(), "table_id", "left_anti")
+            grid = grid.unionByName(header.join(new, "table_id", "left_semi"))
+        fresh = M.part(materialize(grid), exact)
+        merged = M.merged(known, fresh)
+        for name in M.SCHEMAS:
+            write_batch(merged[name] if name in M.SMALL else fresh[name], f"{state_path}/{name}", batch_id)
+        # A replay of this batch needs the state before it; older ones are done with.
+        for name in M.SMALL:
+            for n in sorted(n for n in _batch_numbers(spark, f"{state_path}/{name}") if n < batch_id)[:-1]:
+                delete_folder(spark, f"{state_path}/{name}/batch_id={n}")
 
     return work
 
 
-def heartbeat(spark: SparkSession) -> DataFrame:
-    """A row without a path each second (``path, ts``).
+def judge_kept(
+    spark: SparkSession, state_path: str, settings: ScoreSettings = ScoreSettings(), tables: DataFrame | None = None, before: int | None = None
+) -> DataFrame:
+    """The scores of all tables (or of ``tables``, by ``table_id``) that ``grow_profiles`` keeps, by all their rows so far.
 
-    In union with the inputs of ``retry_batches`` it makes due failures run on time when
-    no new input arrives.
+    Distinct values that were kept are counted here; nothing else grows with the rows.
     """
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
-    return ticks.select(F.lit(None).cast("string").alias("path"), F.col("timestamp").alias("ts"))
-
+    known = kept_frames(spark, state_path, before)
+    if tables is not None:
+        known = {name: df.join(tables.select("table_id"), "table_id", "left_semi") for name, df in known.items()}
+    return confidence(M.merged_profile(known), settings)
 
-RETRY_SCHEMA = "path string, attempt int, failed_ts timestamp, next_attempt_ts timestamp, exhausted boolean, success boolean"
 
-
-def retry_batches(
-    ledger_path: str,
-    process: Callable[[DataFrame, int], DataFrame],
-    retry: RetrySettings = RetrySettings(),
+def judge_growing(
+    to_grid: Callable[[DataFrame], DataFrame],
+    state_path: str,
+    scores_path: str,
+    settings: ScoreSettings = ScoreSettings(),
+    header: DataFrame | None = None,
+    exact: bool = True,
 ) -> Callable[[DataFrame, int], None]:
-    """Callback that processes new inputs plus earlier failures that are due.
+    """``grow_profiles``, and the tables that got rows judged after each batch.
 
-    Takes ``path, ts``; rows without a path only move the clock (``heartbeat``).  ``process`` returns ``path, success`` for what it got.  The
-    ledger holds the latest state of a path per batch: attempt number, when the
-    next try is due, or that no try is left.  The newest ``ts`` of the batch is the
-    clock, so a replay gives the same result.
+    Scores go to ``scores_path``, by batch, so the last ones of a table are those of all
+    its rows so far (``last_scores``).
     """
+    grow = grow_profiles(to_grid, state_path, header, exact)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        clock = batch.agg(F.max("ts").alias("now")).first()["now"]
-        state = read_batches(spark, ledger_path, RETRY_SCHEMA, batch_id)
-        newest = F.max_by(F.struct("attempt", "next_attempt_ts", "exhausted", "success"), "batch_id")
-        state = state.groupBy("path").agg(newest.alias("_s")).select("path", "_s.*")
-        open_failures = materialize(state.where(~F.col("success")))
-        due = open_failures.where(~F.col("exhausted") & (F.col("next_attempt_ts") <= F.lit(clock)))
-        spent = open_failures.where("exhausted").select("path")
-        inputs = batch.where(F.col("path").isNotNull()).select("path").unionByName(due.select("path")).distinct()
-        inputs = materialize(inputs.join(spent, "path", "left_anti"))
-        if inputs.isEmpty():
-            return
-        outcome = materialize(process(inputs, batch_id).select("path", "success"))
-        joined = outcome.join(open_failures.select("path", F.col("attempt").alias("_before")), "path", "left")
-        attempt = F.when(F.col("success"), F.lit(0)).otherwise(F.coalesce("_before", F.lit(0)) + 1)
-        wait = (backoff(F.col("attempt") - 1, retry) * 1_000_000).cast("long")
-        rows = joined.select("path", attempt.alias("attempt"), "success").select(
-            "path",
-            F.col("attempt").cast("int").alias("attempt"),
-            F.lit(clock).cast("timestamp").alias("failed_ts"),
-            F.when(
-                ~F.col("success") & (F.col("attempt") < retry.max_attempts),
-                F.timestamp_micros(F.unix_micros(F.lit(clock).cast("timestamp")) + wait),
-            ).alias("next_attempt_ts"),
-            (~F.col("success") & (F.col("attempt") >= retry.max_attempts)).alias("exhausted"),
-            "success",
-        )
-        write_batch(rows, ledger_path, batch_id)
+        grow(batch, batch_id)
+        touched = to_grid(batch).select("table_id").distinct()
+        write_batch(judge_kept(batch.sparkSession, state_path, settings, touched, batch_id + 1), scores_path, batch_id)
 
     return work
 
 
+def last_scores(spark: SparkSession, scores_path: str) -> DataFrame:
+    """The latest scores of every table that ``judge_growing`` judged."""
+    rows = spark.read.option("basePath", scores_path).parquet(scores_path)
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("table_id", "batch_id")]), "batch_id")
+    return rows.groupBy("table_id").agg(newest.alias("_s")).select("table_id", "_s.*")
+
+
+def heartbeat(spark: SparkSession) -> DataFrame:
+    """A row without a path each second (``path, ts``).
+
+    In union with the inputs of ``retry_events`` it makes due failures run on time when
+    no new input arrives.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    return ticks.select(F.lit(None).cast("string").alias("path"), F.col("timestamp").alias("ts"))
+
+
 def run_available(writer: DataStreamWriter) -> None:
     """Process what has arrived, then stop; the checkpoint keeps the place."""
     query = writer.trigger(availableNow=True).start()
