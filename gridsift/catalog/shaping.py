@@ -11,8 +11,10 @@ from gridsift.operators import grid as G
 from gridsift.operators import profile as P
 from gridsift.operators.confidence import profile
 
-# Worksheets whose cells are listed one by one (whole tables, narrow text).
-CELLS = tuple(s for s in DIRTY if s.table in ("customer", "supplier", "part"))
+# All worksheets, cell by cell; results hold digests of the texts.
+CELLS = SHEETS + DIRTY
+# Rows are put together again by position, which repeats in lineitem.
+PLACED = tuple(s for s in CELLS if s.table != "lineitem")
 MIXED = tuple(s for s in SHEETS if s.table in ("documents", "labels", "supplier", "nation")) + DIRTY
 
 
@@ -53,7 +55,8 @@ SELECT table_id, rank, array_to_string(list_transform(cells, lambda c: coalesce(
 FROM grid WHERE rank < 5"""))
 def preview_head(spark, sf_dir):
     """The first rows of every worksheet."""
-    rows = G.preview(grid_of(spark, sf_dir, DIRTY), 5)
+    sources = sources_of(spark, sf_dir, DIRTY)
+    rows = G.preview(G.corpus_grid(sources), 5, sources=sources)
     return rows.select("table_id", "rank", F.array_join("cells", "|", "~").alias("row_text"))
 
 
@@ -73,27 +76,32 @@ def sample_rows(spark, sf_dir):
     return G.sample_rows(_table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
-@query(Q.with_corpus(CELLS, query="SELECT table_id, row_idx, col_idx, value FROM cells"))
+@query(Q.with_corpus(CELLS, query="SELECT table_id, row_idx, col_idx, md5(value) AS value_md5 FROM cells"))
 def to_cells(spark, sf_dir):
-    return G.to_cells(grid_of(spark, sf_dir, CELLS))
+    cells = G.to_cells(grid_of(spark, sf_dir, CELLS))
+    return cells.select("table_id", "row_idx", "col_idx", F.md5(F.col("value").cast("binary")).alias("value_md5"))
 
 
-@query(Q.with_corpus(CELLS, query="""
-SELECT table_id, row_idx, cells[1] AS c0, cells[2] AS c1, cells[3] AS c2, cells[4] AS c3, cells[5] AS c4, cells[6] AS c5
-FROM grid"""))
+WIDEST = max(len(s.columns) for s in PLACED)
+
+
+@query(Q.with_corpus(PLACED, query=f"""
+SELECT table_id, row_idx, {", ".join(f"md5(cells[{i + 1}]) AS c{i}" for i in range(WIDEST))} FROM grid"""))
 def to_wide(spark, sf_dir):
     """Long cells back to one column per position."""
-    return G.to_wide(G.to_cells(grid_of(spark, sf_dir, CELLS)), 6)
+    cells = G.to_cells(grid_of(spark, sf_dir, PLACED))
+    return G.to_wide(cells.withColumn("value", F.md5(F.col("value").cast("binary"))), WIDEST)
 
 
-@query(Q.with_corpus(CELLS, query="""
+@query(Q.with_corpus(PLACED, query="""
 SELECT table_id, row_idx, len(cells) AS width, len(list_filter(cells, lambda c: c IS NOT NULL)) AS filled,
-  array_to_string(list_transform(cells, lambda c: coalesce(c, '~')), '|') AS row_text FROM grid"""))
+  md5(array_to_string(list_transform(cells, lambda c: coalesce(c, '~')), '|')) AS row_md5 FROM grid"""))
 def from_cells(spark, sf_dir):
     """Long cells back to grid rows."""
-    rows = G.from_cells(G.to_cells(grid_of(spark, sf_dir, CELLS)))
+    rows = G.from_cells(G.to_cells(grid_of(spark, sf_dir, PLACED)))
     return rows.select(
-        "table_id", "row_idx", F.size("cells").alias("width"), "filled", F.array_join("cells", "|", "~").alias("row_text")
+        "table_id", "row_idx", F.size("cells").alias("width"), "filled",
+        F.md5(F.array_join("cells", "|", "~").cast("binary")).alias("row_md5"),
     )
 
 
@@ -112,21 +120,21 @@ SELECT table_id, nrows AS "rows", ncols AS "columns", nrows * ncols AS total_cel
   CAST(filled AS BIGINT) AS non_empty_cells, CAST(nrows * ncols - filled AS BIGINT) AS empty_cells,
   round(CAST(filled AS DOUBLE) / (nrows * ncols), 6) AS density FROM tabs"""))
 def table_shape(spark, sf_dir):
-    tables = profile(sources_of(spark, sf_dir, MIXED)).tables
+    tables = P.table_counts(grid_of(spark, sf_dir, MIXED))
     return P.shape(tables).withColumn("density", F.round("density", 6))
 
 
 @query(Q.with_corpus(DIRTY, Q.TABLES, query="""
 SELECT table_id, nrows - rows_any AS empty_rows, rows_full AS full_rows, rows_any - rows_full AS partial_rows FROM tabs"""))
 def row_fullness(spark, sf_dir):
-    return P.row_fullness(profile(sources_of(spark, sf_dir, DIRTY)).tables)
+    return P.row_fullness(P.table_counts(grid_of(spark, sf_dir, DIRTY)))
 
 
 @query(Q.with_corpus(DIRTY, Q.TABLES, query="""
 SELECT table_id, ncols - cols_any AS empty_columns, cols_full AS full_columns, cols_any - cols_full AS partial_columns
 FROM tabs"""))
 def column_fullness(spark, sf_dir):
-    return P.column_fullness(profile(sources_of(spark, sf_dir, DIRTY)).tables)
+    return P.column_fullness(P.column_totals(P.column_counts(sources_of(spark, sf_dir, DIRTY))))
 
 
 @query(Q.with_corpus(DIRTY, query="""
@@ -225,7 +233,7 @@ def potential_header_row(spark, sf_dir):
 @query(Q.with_corpus(SHEETS, Q.TABLES, query="""
 SELECT table_id, nrows * ncols * 10 + ncols * 20 AS estimated_bytes FROM tabs"""))
 def size_estimate(spark, sf_dir):
-    return P.estimate_size(profile(sources_of(spark, sf_dir, SHEETS)).tables)
+    return P.estimate_size(P.table_counts(grid_of(spark, sf_dir, SHEETS)))
 
 
 _SPENT = "CASE event_type WHEN 'view' THEN 'customer' WHEN 'click' THEN 'orders' WHEN 'error' THEN 'part' ELSE 'events' END"
@@ -242,7 +250,7 @@ FROM (
 ) t LEFT JOIN (SELECT {_SPENT} AS source, sum(value) AS spent FROM events GROUP BY 1) e ON e.source = t.source"""))
 def run_totals(spark, sf_dir):
     """Rows, columns, worksheets and speed per source."""
-    tables = profile(sources_of(spark, sf_dir, DIRTY)).tables
+    tables = P.table_counts(grid_of(spark, sf_dir, DIRTY))
     spent = _table(spark, sf_dir, "events").select(F.expr(_SPENT).alias("source"), F.col("value").alias("duration_ms"))
     totals = P.run_totals(tables, F.regexp_extract("table_id", "^[a-z]+", 0), durations=spent)
     return totals.withColumn("success_rate", F.round("success_rate", 6)).withColumn(

@@ -287,9 +287,9 @@ def head_rows(grid: DataFrame, k: int, dense: bool = False, sources: Sequence[Gr
     return ranked.drop("_tie", "_salt")
 
 
-def preview(grid: DataFrame, n: int = 10, dense: bool = False) -> DataFrame:
-    """The first n rows of every table."""
-    return head_rows(grid, n, dense).where(F.col("rank") < n)
+def preview(grid: DataFrame, n: int = 10, dense: bool = False, sources: Sequence[GridSource] = ()) -> DataFrame:
+    """The first n rows of every table; with ``sources`` (which make up the grid) scans are cut by position."""
+    return head_rows(grid, n, dense, sources).where(F.col("rank") < n)
 
 
 def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsift.functions import is_date, is_number, strip
-from gridsift.operators.grid import GridSource, head_rows, narrow_grid, to_cells
+from gridsift.operators.grid import GridSource, head_rows, narrow_grid, to_cells, union_tables
 from gridsift.plans import join_small
 from gridsift.session import materialize
 
@@ -66,6 +66,38 @@ def table_profile(columns: DataFrame) -> DataFrame:
     )
 
 
+def table_counts(grid: DataFrame) -> DataFrame:
+    """The shape of every table and the fullness of its rows, from row measures alone: no cell is looked at."""
+    filled, width = F.col("filled"), F.size("cells")
+    return grid.groupBy("table_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max(width).cast("long").alias("columns"),
+        F.sum(filled.cast("long")).alias("filled"),
+        _count_if(filled > 0).alias("rows_any"),
+        _count_if(filled == width).alias("rows_full"),
+    )
+
+
+def column_counts(sources: Sequence[GridSource]) -> DataFrame:
+    """Rows and filled cells per column, from one wide aggregate for each source: cells are not spread out."""
+    parts = []
+    for source in sources:
+        width = len(source.columns or source.df.columns)
+        counts = F.array(*[F.count(F.get("cells", F.lit(i))) for i in range(width)])
+        table = source.grid().groupBy("table_id").agg(F.count(F.lit(1)).alias("rows"), counts.alias("counts"))
+        parts.append(table.select("table_id", "rows", F.posexplode("counts").alias("col_idx", "n")))
+    return union_tables(parts)
+
+
+def column_totals(columns: DataFrame) -> DataFrame:
+    """Number of columns, of those with a value and of full ones per table, from ``column_counts``."""
+    return columns.groupBy("table_id").agg(
+        F.count(F.lit(1)).alias("columns"),
+        _count_if(F.col("n") > 0).alias("columns_any"),
+        _count_if(F.col("n") == F.col("rows")).alias("columns_full"),
+    )
+
+
 def shape(tables: DataFrame) -> DataFrame:
     """Rows, columns, cells and density of every table."""
     cells = F.col("rows") * F.col("columns")
