@@ -6,13 +6,16 @@ that some query names, the sorted numbers of the texts that hold it.  A query
 intersects and unites these postings, and only the texts left are matched.  Rules
 without a mandatory trigram scan all texts.  The index covers ASCII-lower-cased bytes,
 so it serves patterns of either letter case.
+
+A text of any length is matched in time that grows with its length: rules whose regex would
+be tried again at every sign of a run have a search of their own, with the same matches.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as sre
@@ -24,19 +27,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsift.llm.words import LOWER, small_slices, text_buffers
+from gridsift.session import ship_package
 
 MOST_STRINGS = 64
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of ``pattern`` whose ``group`` has at least ``least`` characters."""
+    """Matches of ``pattern`` whose ``group`` has at least ``least`` characters.
+
+    ``find`` gives the matches (start, end) of a text as ``pattern`` would, where that takes too long.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     flags: int = re.ASCII
+    find: Callable[[str], Iterator[tuple[int, int]]] | None = None
+
+
+def _urls(text: str) -> Iterator[tuple[int, int]]:
+    """From each ``://`` forward, then back over the scheme, never into an earlier match."""
+    end = 0
+    for mark in re.finditer("://", text):
+        if not (tail := _URL_TAIL.match(text, mark.start())):
+            continue
+        start = mark.start()
+        while start > end and text[start - 1] in _SCHEME:
+            start -= 1
+        if first := _LETTER.search(text, start, mark.start()):
+            end = tail.end()
+            yield first.start(), end
+
+
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_LETTER = re.compile("[a-z]")
+_URL_TAIL = re.compile(r"://[^\s:/@]+:[^\s:/@]{3,}@", re.ASCII)
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Three runs of token signs with dots between; each run is looked at once."""
+    runs = [m.span() for m in re.finditer("[A-Za-z0-9_-]+", text)]
+    k = 0
+    while k + 2 < len(runs):
+        (a, b), (c, d), (e, f) = runs[k : k + 3]
+        k += 1
+        if text[b] != "." or c != b + 1 or text[d] != "." or e != d + 1 or not text.startswith("eyJ", c) or d - c < 11 or f - e < 8:
+            continue
+        # The first run may begin before its head.
+        if (start := text.find("eyJ", a, max(b - 8, 0))) >= 0:
+            yield start, f
+            k += 2
 
 
 #: The base kinds, in the order of their contract.
@@ -52,9 +94,9 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", find=_tokens),
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{3,}@"),
+    Rule("url", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{3,}@", find=_urls),
 )
 
 # A query is True (any text), ("and", queries), ("or", queries) or a trigram.
@@ -131,10 +173,15 @@ def trigrams_of(query) -> set[bytes]:
     return {query} if isinstance(query, bytes) else set().union(*map(trigrams_of, query[1]))
 
 
+def _found_by(rule: Rule) -> Callable[[str], Iterator[tuple[int, int]]]:
+    pattern = re.compile(rule.pattern, rule.flags)
+    return lambda text: (m.span() for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least)
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
-        self.rules = [(r.kind, re.compile(r.pattern, r.flags), r.group, r.least, trigram_query(r)) for r in rules]
-        self.trigrams = sorted(set().union(*(trigrams_of(r[4]) for r in self.rules)))
+        self.rules = [(r.kind, r.find or _found_by(r), trigram_query(r)) for r in rules]
+        self.trigrams = sorted(set().union(*(trigrams_of(r[2]) for r in self.rules)))
         self.number = np.zeros(1 << 24, np.uint16)
         for k, (a, b, c) in enumerate(self.trigrams):
             self.number[a | b << 8 | c << 16] = k + 1
@@ -166,11 +213,9 @@ class Scanner:
         """(start, number of the rule, end) of each text, in order."""
         postings, out = self.postings(texts), [[] for _ in range(len(texts))]
         plain: list = texts.to_pylist()
-        for number, (_, pattern, group, least, query) in enumerate(self.rules):
+        for number, (_, find, query) in enumerate(self.rules):
             for doc in self.candidates(query, postings, len(texts)).tolist():
-                for m in pattern.finditer(plain[doc] or ""):
-                    if m.end(group) - m.start(group) >= least:
-                        out[doc].append((m.start(), number, m.end()))
+                out[doc] += [(start, number, end) for start, end in find(plain[doc] or "")]
         for spans in out:
             spans.sort()
         return out
@@ -203,8 +248,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mor
 
     ``spans`` lists kind:start:end (code points, end exclusive) by start, then by the
     order of the rules; ``base_sha256`` is the digest of the base kinds' part of it.  A
-    null text counts as empty and has no spans.
+    null text counts as empty and has no spans; an empty table gives no rows.  Ids are cast
+    to long; rows without id and repeated ids are rows of their own; other columns are not
+    read.  A text of any length is scanned whole; a task holds a slice of about two megabytes,
+    or one text.
     """
+    ship_package(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = slim.mapInArrow(_scanned((*BASE, *more)), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return found.withColumnRenamed("id", id_col)

@@ -182,10 +182,37 @@ def test_index_finds_what_a_full_scan_finds():
 
     texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{LARGE}/documents.parquet'").fetchall()] + SECRETS
     scanner = secrets.Scanner((*secrets.BASE, *secrets.MORE))
-    full = [sorted((m.start(), k, m.end()) for k, (_, p, g, least, _) in enumerate(scanner.rules) for m in p.finditer(t) if m.end(g) - m.start(g) >= least) for t in texts]
+    plain = [secrets._found_by(r) for r in (*secrets.BASE, *secrets.MORE)]
+    full = [sorted((a, k, b) for k, find in enumerate(plain) for a, b in find(t)) for t in texts]
     assert scanner.scan(pa.array(texts)) == full
 
 
+def test_searches_match_as_their_patterns():
+    import random
+
+    rng = random.Random(8)
+    rules = [r for r in secrets.MORE if r.find]
+    parts = ["://", "http", "a", "1", ".", "-", ":", "@", "/", " ", "user", "pass", "eyJ", "abcdefgh", "_", "é", "A", "eyJabcdefgh.eyJabcdefgh.abcdefgh", "x://u:pwd@"]
+    found = 0
+    for _ in range(20000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        for r in rules:
+            got = list(r.find(text))
+            assert got == list(secrets._found_by(r)(text)), (r.kind, text)
+            found += len(got)
+    assert len(rules) == 2 and found > 1000
+
+
+@pytest.mark.parametrize("text", ["x://u:pwd@" + "a" * 2_000_000, "eyJ" * 700_000, "a-" * 1_000_000 + "://", "://" * 700_000, "eyJ." * 500_000, "token" * 400_000 + " " * 500_000, "a:" * 900_000 + "//", "-----BEGIN " + "A " * 900_000])
+def test_texts_of_megabytes_take_time_by_their_length(text):
+    import time
+
+    scanner = secrets.Scanner((*secrets.BASE, *secrets.MORE))
+    start = time.process_time()
+    scanner.scan(pa.array([text, "x"]))
+    assert time.process_time() - start < 3
+
+
 def test_trigram_queries():
     query = lambda p, flags=0: secrets.trigram_query(secrets.Rule("x", p, flags=flags))
     assert query("abcd") == ("and", (b"abc", b"bcd")) and query("ab") is True and query("[a-z]+") is True
