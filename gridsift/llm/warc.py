@@ -9,7 +9,8 @@ ends behind each record and commits whole files.
 Reading: archives are inflated and parsed piece by piece into rows of a record
 identifier and a chunk number, at most ``CHUNK`` bytes each.  A SHA-1 state goes
 along with the chunks of a payload, so the digest is known at its last chunk and
-no payload is ever put together.
+no payload is put together.  (The compressed bytes of an archive come as one value, and a
+page's html as one text, as Spark hands them out: up to 2 GB each.)
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 
 from gridsift.llm.exact_dedup import RUNS, SAME, merge_runs
 from gridsift.llm.shared import saved
+from gridsift.llm.words import text_buffers
+from gridsift.plans.joins import join_small
+from gridsift.session import ship_package
 
 SEGMENT = 1 << 20
 CHUNK = 1 << 16
@@ -43,9 +47,9 @@ def _record(kind: str, name: str, fields: list[tuple[str, str]], block: bytes) -
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def page_records(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, copy: int) -> Iterator[bytes]:
-    """The archive records of a page, without the line ends behind them."""
-    name = f"{ID}{'' if page is None else page}" + (f":{copy}" if copy else "")
+def page_records(page: int | None, url: str | None, payload: memoryview, digest: str, first: int | None, revisit: bool, suffix: str = "") -> Iterator[bytes]:
+    """The archive records of a page, without the line ends behind them; a payload is copied a segment at a time."""
+    name = f"{ID}{'' if page is None else page}{suffix}"
     about = [("WARC-Payload-Digest", f"sha1:{digest}")]
     if url is not None:
         about.append(("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url)))
@@ -55,46 +59,36 @@ def page_records(page: int | None, url: str | None, payload: bytes, digest: str,
         yield _record("revisit", name, [*about, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{ID}{'' if first is None else first}>"), kind], http)
         return
     if len(http) + len(payload) <= SEGMENT:
-        yield _record("response", name, [*about, kind], http + payload)
+        yield _record("response", name, [*about, kind], http + bytes(payload))
         return
     at = SEGMENT - len(http)
-    yield _record("response", name, [*about, ("WARC-Segment-Number", "1"), kind], http + payload[:at])
+    yield _record("response", name, [*about, ("WARC-Segment-Number", "1"), kind], http + bytes(payload[:at]))
     number = 2
     while at < len(payload):
-        piece = payload[at : at + SEGMENT]
+        piece = bytes(payload[at : at + SEGMENT])
         at += len(piece)
         end = [("WARC-Segment-Total-Length", str(len(http) + len(payload)))] if at >= len(payload) else []
         yield _record("continuation", f"{name}#{number}", [("WARC-Segment-Number", str(number)), ("WARC-Segment-Origin-ID", f"<{name}>"), *end], piece)
         number += 1
 
 
-def _archived(least: int):
-    """(page, url, html, roles) in order of page to archive records."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, seen, copy = None, set(), 0
-        for batch in batches:
-            out, size = [], 0
-            for row in range(batch.num_rows):
-                page, url, html = (batch.column(k)[row].as_py() for k in range(3))
-                if before != (page,):
-                    before, seen, copy = (page,), set(), 0
-                payload = (html or "").encode()
-                digest = hashlib.sha1(payload).digest()
-                first = next((x["first"] for x in batch.column(3)[row].as_py() if x["digest"] == digest), page)
-                revisit = len(payload) >= least and (first != page or digest in seen)
-                for record in page_records(page, url, payload, base32(digest), first, revisit, copy):
-                    out.append(record)
-                    size += len(record)
-                    if size >= 4 * SEGMENT:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                        out, size = [], 0
-                seen.add(digest)
-                copy += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    return run
+def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, url, html, digest, first, revisit, suffix) rows to archive records, each row on its own."""
+    for batch in batches:
+        data, places = text_buffers(batch.column(2))
+        view, places = memoryview(data), places.tolist()
+        page, url, digest, first, revisit, suffix = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6))
+        out, size = [], 0
+        for row in range(batch.num_rows):
+            payload = view[places[row] : places[row + 1]]
+            for record in page_records(page[row], url[row], payload, base32(digest[row]), first[row], revisit[row], suffix[row]):
+                out.append(record)
+                size += len(record)
+                if size >= 4 * SEGMENT:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> None:
@@ -102,23 +96,47 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     A null payload is empty.  Of equal payloads of at least ``least`` bytes the
     smallest id (a null id last) is a response and the others revisit it; rows that
-    repeat id and payload revisit the first of them.  A null url leaves its header out.
+    repeat id and payload revisit one of them.  A null url leaves its header out.  Record
+    names of ids with several rows end in the payload digest, and in the row's number where
+    that repeats too.  Ids are cast to long; other columns are not read.
+
+    Each row meets its own role by id and digest, so rows of one id, or without id, are
+    written by many tasks; what a task got is one archive file.  A row's html is held once,
+    and its record is cut from it a segment at a time.
     """
+    ship_package(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    # One key without nulls for ids and digests together.
+    key = F.struct(F.col("page").isNull().alias("none"), F.coalesce("page", F.lit(0)).alias("id"))
+    slim = slim.withColumns({"key": key, "digest": F.unhex(F.sha1(F.col("html").cast("binary")))})
     best = F.struct(F.col("page").isNull().alias("no_id"), F.col("page").alias("id"))
     keys = slim.select(
-        "page", F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"), F.monotonically_increasing_id().alias("row"),
-        F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), F.octet_length("html").cast("long").alias("same_length"),
-        F.xxhash64("html").alias("same_hash"), best.alias("best"),
+        "key", F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"), F.monotonically_increasing_id().alias("row"),
+        "digest", F.octet_length("html").cast("long").alias("same_length"), F.xxhash64("html").alias("same_hash"), best.alias("best"),
     )
-    merged = merge_runs(saved(keys, "payloads"))
-    # One non-null key, so that rows move once: all rows of a page id come together, in order.
-    key = F.struct(F.col("page").isNull().alias("none"), F.coalesce("page", F.lit(0)).alias("id")).alias("key")
-    roles = merged.groupBy(key).agg(F.collect_set(F.struct(SAME[0], F.col("winner.best.id").alias("first"))).alias("roles"))
-    rows = slim.withColumn("key", key).repartition("key").join(roles, "key")
-    rows = rows.sortWithinPartitions("key").select("page", "url", "html", "roles")
-    records = rows.mapInArrow(_archived(least), "record binary").select(F.col("record").cast("string"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
+    roles = merge_runs(saved(keys, "payloads")).groupBy("key", "digest").agg(F.first("winner.best.id").alias("first"), F.max("same_length").alias("size"), F.count(F.lit(1)).alias("n"))
+    roles = saved(roles, "roles")
+    several = roles.groupBy("key").agg(F.sum("n").alias("rows")).where("rows > 1").select("key")
+    named = join_small(roles, several.withColumn("several", F.lit(True)), ["key"], "left")
+    suffix = F.when(F.col("several"), F.concat(F.lit(":"), F.lower(F.hex("digest")))).otherwise("")
+    roles = saved(named.select("key", "digest", "first", "size", "n", suffix.alias("suffix")), "roles")
+    own = F.col("first").eqNullSafe(F.col("page"))
+    columns = ["page", "url", "html", "digest", "first"]
+    again = roles.where("n > 1").select("key", "digest")
+    repeated = not again.isEmpty()
+    single = join_small(slim, again, ["key", "digest"], "left_anti") if repeated else slim
+    records = single.join(roles, ["key", "digest"]).select(*columns, (~own & (F.col("size") >= least)).alias("revisit"), "suffix")
+    if repeated:
+        # Rows of one id and payload are numbered, once; the first of them may be the response.
+        copies = saved(join_small(slim, again, ["key", "digest"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "copies")
+        heads = copies.groupBy("key", "digest").agg(F.min("row").alias("head"))
+        told = copies.join(roles.join(heads, ["key", "digest"]), ["key", "digest"])
+        head = own & (F.col("row") == F.col("head"))
+        records = records.unionByName(told.select(
+            *columns, (~head & (F.col("size") >= least)).alias("revisit"), F.concat("suffix", F.lit("."), F.col("row").cast("string")).alias("suffix")
+        ))
+    written = records.mapInArrow(_archived, "record binary").select(F.col("record").cast("string"))
+    written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
 
 def _inflated(content: memoryview) -> Iterator[bytes]:
@@ -235,6 +253,7 @@ def read_chunks(spark: SparkSession, folder: str, with_data: bool = True) -> Dat
     row without data; an empty payload is one row of no bytes.  ``with_data=False``
     leaves ``data`` null where only digests are wanted.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
     return files.mapInArrow(_chunks(with_data), FIELDS)
 

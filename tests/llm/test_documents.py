@@ -200,6 +200,27 @@ def test_archives(spark, least):
             assert b"".join(parts) == next((html or "").encode() for i, _, html in PAGES if i == page)
 
 
+def test_many_pages_without_id(spark):
+    """Rows of one id, with payloads of their own and repeated ones, in time by their number."""
+    import time
+
+    took = {}
+    for n in (2000, 20000):
+        rows = spark.range(n).selectExpr("CAST(NULL AS BIGINT) AS page_id", "'u' AS url", "concat('<p>', id % 1500, '</p>') AS html")
+        rows = rows.unionByName(spark.createDataFrame([(7, "v", "<p>3</p>"), (9, "v", "<p>3</p>")], "page_id long, url string, html string"))
+        folder, start = new_folder(spark, "test"), time.perf_counter()
+        warc.write_archives(rows, folder)
+        found = warc.record_table(warc.read_chunks(spark, folder, with_data=False)).collect()
+        took[n] = time.perf_counter() - start
+        assert len(found) == n + 2 and all(r["intact"] for r in found)
+        assert sum(r["record_type"] == "response" for r in found) == 1500
+        assert {r["refers_to"] for r in found if r["page_id"] == 9} == {7}
+        # A null id is the last to be the response of a payload.
+        assert sum(r["page_id"] is None and r["refers_to"] == 7 for r in found) == len([k for k in range(n) if k % 1500 == 3])
+    names = [r["record"] for r in warc.read_chunks(spark, folder, with_data=False).where("chunk = 0").collect()]
+    assert len(set(names)) == len(names) and took[20000] < 5 * took[2000] + 10
+
+
 def test_no_pages(spark):
     folder = new_folder(spark, "test")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
