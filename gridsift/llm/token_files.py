@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from gridsift.llm.shared import running_sums, saved
 from gridsift.llm.words import LOWER, find_words, small_slices, span_hashes, text_buffers
+from gridsift.session import ship_package
 
 END_ID = 2
 BLOCK_IDS = 1 << 21
@@ -214,7 +215,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     writer commits whole files only, so a lost executor leaves no half file.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = slim.repartitionByRange("id").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("id", "tie").drop("tie")
+    ship_package(docs.sparkSession)
+    # By id and text, so rows of one id, or without, are dealt to many tasks.
+    tied = slim.withColumn("tie", F.xxhash64("text"))
+    ordered = tied.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
     blocks = ordered.mapInArrow(_packed(tokenizer, by_word, end_id), "record binary")
     blocks.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", BLOCKS_PER_FILE).text(folder)
 
@@ -246,6 +250,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
 
 
