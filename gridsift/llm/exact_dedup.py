@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsift.llm.shared import saved
+from gridsift.llm.shared import free_names, quoted, saved
 from gridsift.plans.joins import join_small
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -91,18 +91,24 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    Ids should be unique.  Where an id repeats, one row stays for each text of
-    that id which wins its group.
+    Of rows that agree in id and text only one stays, and only if it wins its group; rows
+    without id, and rows of one id with different texts, are told apart by their texts.
     """
-    flags = saved(copies(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept", F.col("text_sha256").alias("_sha")), "flags")
-    seen = flags.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
-    unusual = seen.where("n > 1 OR _id IS NULL").limit(1).count()
+    flags = copies(docs, id_col, text_col).select(F.col(id_col).alias("id"), "kept", F.col("text_sha256").alias("sha"))
+    flags = saved(flags, "flags")
+    seen = flags.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    unusual = seen.where("n > 1 OR id IS NULL").limit(1).count()
     if not unusual:
-        losers = flags.where(~F.col("kept")).select(F.col("_id").alias(id_col))
+        losers = flags.where(~F.col("kept")).select(F.col("id").alias(id_col))
         return join_small(docs, losers, [id_col], "left_anti")
-    sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    winners = flags.where("kept").select("_id", "_sha").distinct()
-    kept = docs.withColumn("_own", sha).join(winners, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own"]).drop("_own")
+    own, by, sha = free_names(docs, "_own", "_id", "_sha")
+    winners = flags.where("kept").select(F.col("id").alias(by), F.col("sha").alias(sha)).distinct()
+    hashed = docs.withColumn(own, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    kept = hashed.join(winners, F.col(id_col).eqNullSafe(F.col(by)) & (F.col(own) == F.col(sha)), "left_semi")
+    # One row for each id and text: the longest text, as the winner has, and any of those that agree in it.
+    number, place = free_names(kept, "_number", "_place")
+    numbered = saved(kept.withColumn(number, F.monotonically_increasing_id()), "winners")
+    first = numbered.groupBy(id_col, own).agg(F.min_by(F.col(number), F.struct(-F.length(F.coalesce(F.col(text_col), F.lit(""))), F.col(number))).alias(place))
+    return numbered.join(first.select(place), F.col(number) == F.col(place), "left_semi").select(*[quoted(c) for c in docs.columns])

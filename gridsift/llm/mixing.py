@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsift.llm.shared import running_sums, saved
+from gridsift.llm.shared import free_names, quoted, running_sums, saved
 from gridsift.llm.words import WORD
 
 WEIGHTS = (3, 1, 2)
@@ -88,7 +88,7 @@ def mix(
     return both.select(
         F.col("id").alias(id_col), "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), (F.col("epochs") + more).alias("copies"),
-        *[F.col(c).alias(row_col) for c in row],
+        *[F.col("row").alias(row_col) for _ in row],
     )
 
 
@@ -96,9 +96,11 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str =
     """The mix itself: each row of ``docs`` as often as the mix takes it whole.
 
     Rows are numbered once, and each meets its own copies by that number, so ids may
-    repeat or be null.
+    repeat or be null.  All columns come out as they went in, whatever their names.
     """
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    counts = mix(rows, id_col, source_col, text_col, row_col="_row", **settings).select("_row", F.col("copies").alias("_copies"))
-    chosen = rows.join(counts.where("_copies > 0"), "_row")
-    return chosen.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    row, copies, n = free_names(docs, "_row", "_copies", "_n")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    counts = mix(rows, id_col, source_col, text_col, row_col=row, **settings).select(F.col(row), F.col("copies").alias(copies))
+    chosen = rows.join(counts.where(F.col(copies) > 0), row)
+    repeated = chosen.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return repeated.select(*[quoted(c) for c in docs.columns])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gridsift.llm.labelled import fitted, label_sample, platt, sigmoid
 from gridsift.llm.measures import base_measures
 from gridsift.llm.words import Words, mix, seeded, small_slices, text_buffers
+from gridsift.session import ship_package
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 1000
@@ -135,7 +136,11 @@ def quality(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns: each row is judged where it is read."""
+    """The rows of ``docs`` that pass, with all their columns, whatever their names: each row is judged where it is read.
+
+    Rows without id, and rows that share an id, are judged each by its own text.
+    """
+    ship_package(docs.sparkSession)
     model = train(docs, labels, id_col, text_col)
     names = docs.columns
     at = names.index(text_col)
@@ -151,4 +156,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                     keep &= sigmoid(model["a"] * (linear_scores(n_grams(words, h), model["weights"]) + model["offset"]) + model["b"]) >= threshold
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Numbered names on the way: names may hold dots.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsift.session import checkpoint_dir, delete_at_end
@@ -13,6 +13,22 @@ from gridsift.session import checkpoint_dir, delete_at_end
 PART = "_part"
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A name for each of ``wanted`` that no column of ``df`` has, in any letter case; the name itself where it is free."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """A column by its plain name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A folder name of its own below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
