@@ -125,7 +125,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     again = roles.where("n > 1").select("key", "digest")
     repeated = not again.isEmpty()
     single = join_small(slim, again, ["key", "digest"], "left_anti") if repeated else slim
-    records = single.join(roles, ["key", "digest"]).select(*columns, (~own & (F.col("size") >= least)).alias("revisit"), "suffix")
+    # Hashed on the roles, so that no html is sorted.
+    records = single.join(roles.hint("shuffle_hash"), ["key", "digest"]).select(*columns, (~own & (F.col("size") >= least)).alias("revisit"), "suffix")
     if repeated:
         # Rows of one id and payload are numbered, once; the first of them may be the response.
         copies = saved(join_small(slim, again, ["key", "digest"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "copies")
