@@ -24,7 +24,7 @@ COSTLY = {
     "header_rows", "header_quality", "judge_stream", "label_tests", "list_tables", "numeric_consistency",
     "potential_header_row", "route", "row_fullness", "run_stats", "run_totals", "scores_out_of_range",
     "set_headers", "size_estimate", "summary_text", "table_consistency", "table_shape", "target_names", "top_reasons",
-    "union_tables", "date_consistency", "clustering_bonus", "first_row_header",
+    "union_tables", "date_consistency", "clustering_bonus", "first_row_header", "judge_growing_stream", "retry_after_success_stream",
 }
 # The training-data queries have their own tests.
 QUERIES = {n: q for n, q in entry_module.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
