@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsift.functions import backoff
-from gridsift.plans import join_small, next_value, number_within, running_max_before
+from gridsift.plans import join_small, next_value, number_since, number_within, running_max_before
+from gridsift.session import materialize
 from gridsift.settings import RetrySettings
 
 
@@ -42,7 +43,7 @@ def debounce(events: DataFrame, path: str, ts: str, event_id: str, gap_seconds:
         F.max(F.struct("_at", event_id)).alias("_last"),
         F.count(F.lit(1)).alias("_events"),
     )
-    slots = next_value(slots, [path], ["_slot"], "_from", "_next")
+    slots = next_value(materialize(slots), [path], ["_slot"], "_from", "_next")
     ends = F.col("_next").isNull() | (F.col("_next") - F.col("_last._at") >= gap)
     return slots.where(ends).select(
         path,
@@ -63,13 +64,11 @@ def attempts(
 
     With a ``success`` column the count starts over after every success.
     """
-    keys = [path]
-    if success is not None:
-        marked = outcomes.withColumn("_win", F.when(F.col(success), F.struct(ts, event_id)))
-        outcomes = running_max_before(marked, [path], [ts, event_id], "_win", "_since")
-        outcomes = outcomes.where(~F.col(success)).drop("_win")
-        keys = [path, "_since"]
-    numbered = number_within(outcomes, keys, [ts, event_id], "attempt")
+    if success is None:
+        numbered = number_within(outcomes, [path], [ts, event_id], "attempt")
+    else:
+        known = outcomes.where(F.col(success).isNotNull())
+        numbered = number_since(known, [path], [ts, event_id], success, "attempt").where(~F.col(success))
     exhausted = F.col("attempt") >= retry.max_attempts
     delay = F.when(~exhausted, backoff(F.col("attempt") - 1, retry))
     due = F.timestamp_micros(
@@ -79,7 +78,6 @@ def attempts(
         numbered.withColumn("exhausted", exhausted)
         .withColumn("delay_seconds", delay)
         .withColumn("next_attempt_ts", due)
-        .drop("_since")
     )
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridsift.plans import join_small, next_value, number_within, running_max_before
+from gridsift.plans import join_small, next_value, number_since, number_within, running_max_before
 
 
 @pytest.fixture(scope="module")
@@ -64,10 +64,51 @@ def test_next_value(skewed):
 
 def test_hot_group_is_cut_into_parts(skewed, spark):
     _, df = skewed
-    from gridsift.plans.ordered import _parts
+    from gridsift.plans.ordered import _Parts
 
-    parts = _parts(df, ["k"], ["at", "id"]).where("k = 'hot'").groupBy("_part").count().collect()
-    assert len(parts) >= 4
+    parts = _Parts(df, ["k"], ["at", "id"])
+    sizes = [r["count"] for r in parts.rows.where("k = 'hot'").groupBy("_part").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 3000 / 5
+    # All rows of divided groups feed the summary.
+    assert parts.divided.where("k = 'hot'").count() == sum(sizes)
+
+
+def test_number_since(skewed):
+    rows, df = skewed
+    marked = df.withColumn("stop", F.col("v") % 97 == 0)
+    got = {r["id"]: r["n"] for r in number_since(marked, ["k"], ["at", "id"], "stop", "n").collect()}
+    want = {}
+    for group in _grouped(rows).values():
+        n = 0
+        for row in group:
+            n = 0 if row[3] % 97 == 0 else n + 1
+            want[row[2]] = n
+    assert got == want and max(got.values()) > 150
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_ordered_plans_of_few_rows(spark, rows):
+    df = spark.range(rows).select(F.lit(None).cast("string").alias("k"), "id", F.lit(False).alias("stop"))
+    for made in (
+        number_within(df, ["k"], ["id"], "n"), number_since(df, ["k"], ["id"], "stop", "n"),
+        running_max_before(df, ["k"], ["id"], "id", "n"), next_value(df, ["k"], ["id"], "id", "n"),
+    ):
+        assert made.count() == rows
+
+
+def test_rows_move_once_and_are_not_kept(spark, tmp_path):
+    """Every exchange but one is of rows that an aggregate has reduced, and the rows come straight from the files."""
+    spark.range(1000).select((F.col("id") % 5).alias("k"), "id", F.repeat(F.lit("x"), 50).alias("wide"), (F.col("id") % 7 == 0).alias("stop")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for made in (
+        number_within(df, ["k"], ["id"], "n"), number_since(df, ["k"], ["id"], "stop", "n"),
+        running_max_before(df, ["k"], ["id"], "id", "n"), next_value(df, ["k"], ["id"], "id", "n"),
+    ):
+        lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
+        below = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+        assert sum("Aggregate" not in line for line in below) == 1
+        wide = [line for line in lines if "FileScan" in line and "wide:string" in line.split("ReadSchema")[1]]
+        assert len(wide) == 1 and not any("Scan ExistingRDD" in line and "wide" in line for line in lines)
 
 
 @pytest.mark.parametrize("limit", [0, 10**9])
