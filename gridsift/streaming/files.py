@@ -18,10 +18,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from gridsift.functions import file_stem, match_glob
 from gridsift.operators import merging as M
 from gridsift.operators.confidence import confidence, profile
+from gridsift.operators.ledger import file_outcome
 from gridsift.session import delete_folder, materialize, path_exists, subfolders
 from gridsift.settings import OutputSettings, ScoreSettings, WatchSettings
 from gridsift.sources.files import MEGABYTE, file_name, name_glob, too_large
-from gridsift.operators.ledger import file_outcome
 from gridsift.sources.writers import archive_inputs, deliver
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -119,11 +119,18 @@ def judge_batches(
 
     Tables named ``path#sheet`` are delivered as ``file_sheet.csv``, others under their
     own name.  Each batch has its own folder, so names are settled within the batch
-    and a replay writes the same files again.
+    and a replay writes the same files again.  A replay after files were moved does not
+    see them any more: it keeps the scores and files that are there and completes the moves.
     """
     again = replace(output, include_timestamp=False)
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        # A stream keeps its id when it starts again; another one has batches of the same numbers.
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+        moves = f"{scores_path}/_moves/{stream}/{batch_id}"
+        if archive is not None and path_exists(batch.sparkSession, f"{moves}/_SUCCESS"):
+            archive_inputs(batch.sparkSession, None, str(batch_id), archive, moves)
+            return
         # The batch is read by several passes: keep it, files may be archived meanwhile.
         known = profile(materialize(to_grid(batch)))
         scores = materialize(confidence(known, settings))
@@ -135,12 +142,13 @@ def judge_batches(
                 F.coalesce(source, F.lit("")), F.substring_index(table, "#", -1), again,
             )
         write_batch(scores, scores_path, batch_id)
+        # The moves come last: their plan is committed when all else of the batch is.
         if archive is not None and deliver_path is not None:
             whole = scores.where(F.col("table_id").contains("#")).join(done, "table_id", "left")
             decisions = whole.select(
                 F.substring_index("table_id", "#", 1).alias("source"), "accepted", F.coalesce("delivered", F.lit(False)).alias("delivered")
             )
-            archive_inputs(batch.sparkSession, file_outcome(decisions), str(batch_id), archive)
+            archive_inputs(batch.sparkSession, file_outcome(decisions), str(batch_id), archive, moves)
 
     return work
 
