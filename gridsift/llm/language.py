@@ -236,6 +236,20 @@ def calibrate(model: dict, rows: pd.DataFrame) -> tuple[float, float]:
     return heat, float(score[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0
 
 
+def _least(most: int):
+    """(id, lang, key) frames to the ``most`` rows of least key of each language, of all rows of the task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for frame in frames:
+            both = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            kept = both.sort_values(["key", "id"], kind="stable").groupby("lang", sort=False).head(most)
+        if kept is not None:
+            yield kept
+
+    return run
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict | None:
     """The models of at most ``sample`` documents of each language, in order of the hash of their ids.
 
@@ -244,11 +258,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
-    # Ranks in buckets of the hash first, so no language's rows meet in one task before they are few.
-    key = F.xxhash64("id")
-    wide = known.withColumn("key", key).withColumn("bucket", F.pmod(key, F.lit(64)))
-    first = wide.withColumn("at", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("key", "id"))).where(F.col("at") <= sample + CALIBRATION)
-    ranked = first.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("at") <= sample + CALIBRATION)
+    # Each task keeps the least hashes of its own rows, groups of tasks those of theirs, and then all.
+    most = sample + CALIBRATION
+    keyed = known.select("id", "lang", F.xxhash64("id").alias("key"))
+    kept = keyed.mapInPandas(_least(most), keyed.schema).withColumn("tasks", F.pmod(F.spark_partition_id(), F.lit(64)))
+    at = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("key", "id"))
+    first = kept.withColumn("at", at("lang", "tasks")).where(F.col("at") <= most)
+    ranked = first.withColumn("at", at("lang")).where(F.col("at") <= most)
     chosen = ranked.select("id", (F.col("at") > sample).alias("checks")).collect()
     if not chosen:
         return None

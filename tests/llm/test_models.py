@@ -415,3 +415,12 @@ def test_languages_of_odd_rows(spark):
     assert language.train(empty) is None
     assert {r["lang_pred"] for r in language.languages(docs, None).collect()} == {"und"}
     assert language.languages(empty, model).count() == 0
+
+
+def test_least_hashes_of_a_task():
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"id": np.arange(5000), "lang": rng.choice(["a", "b", "c"], 5000, p=[0.9, 0.09, 0.01]), "key": rng.integers(-50, 50, 5000)})
+    (got,) = language._least(60)(iter([rows[:1700], rows[1700:1700], rows[1700:]]))
+    want = rows.sort_values(["key", "id"]).groupby("lang").head(60)
+    assert set(got["id"]) == set(want["id"]) and (got.groupby("lang").size() <= 60).all()
+    assert not list(language._least(60)(iter([])))
