@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridsift.catalog import query
 from gridsift.catalog import sql as Q
+from gridsift.catalog.books import write_books
 from gridsift.catalog.corpora import DIRTY, SHEETS, sources_of
 from gridsift.catalog.scalars import format_number_sql
 from gridsift.catalog.scoring import TWO
@@ -19,7 +20,8 @@ from gridsift.operators import delivery as V
 from gridsift.operators import ledger as L
 from gridsift.plans import number_within
 from gridsift.session import checkpoint_dir
-from gridsift.settings import OutputSettings
+from gridsift.settings import OutputSettings, WatchSettings
+from gridsift.sources import workbook as B
 from gridsift.sources import writers as W
 
 # Worksheets delivered cell by cell: dates, numbers, blanks, repeated names, no header.
@@ -326,3 +328,46 @@ def deliver(spark, sf_dir):
         W.deliver(known, scores, path, "20240131", F.lit("book"), F.col("table_id"))
     lines = spark.read.option("basePath", path).schema("value string, output_name string").text(path)
     return lines.select("output_name", F.col("value").alias("line"))
+
+
+_SHEETS = """WITH placed AS (
+  SELECT *, 'book_' || (p_partkey // 5000) || '.xlsx' AS book, 'parts ' || (p_partkey // 500) AS sheet,
+    row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) AS row_idx
+  FROM part
+)"""
+
+
+def _part_books(spark, sf_dir) -> str:
+    """Workbooks of 5,000 part keys each, 500 to a sheet, under a name row; returns their folder."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    number = lambda n: F.floor(F.col("p_partkey") / n).cast("string")
+    rows = part.select(
+        F.concat(F.lit("book_"), number(5000), F.lit(".xlsx")).alias("book"), F.concat(F.lit("parts "), number(500)).alias("sheet"),
+        F.col("p_partkey").alias("row"), F.array(F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string")).alias("cells"),
+    )
+    path = scratch(spark, "books")
+    write_books(rows, path, ["key", "name", "size"])
+    return path
+
+
+@query(_SHEETS + """
+SELECT book, sheet, CAST(row_idx AS BIGINT) AS row_idx, CAST(p_partkey AS VARCHAR) AS c0, p_name AS c1, CAST(p_size AS VARCHAR) AS c2 FROM placed
+UNION ALL SELECT DISTINCT book, sheet, 0, 'key', 'name', 'size' FROM placed""")
+def workbook_cells(spark, sf_dir):
+    """The rows of workbooks written from ``part``, read sheet by sheet."""
+    grid = B.workbook_grid(B.read_workbooks(spark, WatchSettings(folders=(_part_books(spark, sf_dir),))))
+    return grid.select(
+        F.regexp_extract("table_id", r"([^/]+)#", 1).alias("book"), F.substring_index("table_id", "#", -1).alias("sheet"),
+        "row_idx", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(3)],
+    )
+
+
+@query(_SHEETS + """
+SELECT book, sheet, count(*) + 1 AS max_row, CAST(3 AS INTEGER) AS max_column, 'visible' AS sheet_state FROM placed
+WHERE sheet LIKE '%0' GROUP BY book, sheet""")
+def workbook_facts(spark, sf_dir):
+    """Sizes of the sheets whose names end with 0; the others are not read."""
+    records = B.read_workbooks(spark, WatchSettings(folders=(_part_books(spark, sf_dir),)), names=["parts *0"])
+    return B.workbook_sheets(records).select(
+        F.substring_index("source_path", "/", -1).alias("book"), F.col("sheet_name").alias("sheet"), "max_row", "max_column", "sheet_state"
+    )

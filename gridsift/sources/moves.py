@@ -24,13 +24,20 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
 
 
-def move_one(source: str, target: str) -> str:
-    """Move a file: ``moved``; ``done`` if an earlier try did; ``absent`` if it is in neither place; ``other`` if the system is not known here."""
+def known(path: str) -> bool:
+    """Whether tasks can open files of this path themselves."""
     try:
-        system, old = opened(source)
-        _, new = opened(target)
+        opened(path)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ImportError, OSError):
+        return False
+    return True
+
+
+def move_one(source: str, target: str) -> str:
+    """Move a file: ``moved``; ``done`` if an earlier try did; ``absent`` if it is in neither place; ``other`` if the system is not known here."""
+    if not known(source):
         return "other"
+    (system, old), (_, new) = opened(source), opened(target)
     there, made = (i.type != fs.FileType.NotFound for i in system.get_file_info([old, new]))
     if not there:
         return "done" if made else "absent"

@@ -1,8 +1,10 @@
 """Workbook files (.xlsx) as grid rows.
 
-One task opens a file, since a zip archive cannot be split; files are bounded by
-the size limit, which is applied before any content is read.  Rows leave the task
-in batches.  A broken sheet or file becomes an error record, the rest goes on.
+A zip archive can be entered at any part, so the sheets of a file are read by tasks of
+their own: one pass lists the sheets, another reads each of them from its place in the file.
+Files are bounded by the size limit, which is applied before any content is read.  Rows
+leave the task in batches.  A broken sheet or file becomes an error record, the rest
+goes on.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
+from fnmatch import fnmatchcase
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,16 +25,20 @@ from pyspark.sql import functions as F
 from gridsift.functions import match_glob
 from gridsift.functions.text import NULL_TOKENS
 from gridsift.operators.grid import as_grid
-from gridsift.plans import join_small
+from gridsift.plans import join_small, number_within
 from gridsift.session import materialize, ship_package
 from gridsift.settings import WatchSettings
 from gridsift.sources.files import MEGABYTE, file_name, name_glob, too_large
+from gridsift.sources.moves import known, opened
 
 RECORD_SCHEMA = (
     "kind string, source_path string, sheet_index int, sheet_name string, sheet_state string, "
     "max_row bigint, max_column int, row_idx bigint, cells array<string>, error string"
 )
 BATCH_ROWS = 5000
+MOST_TASKS = 10_000
+# Fixed value: bytes of an empty archive.
+SMALLEST_ZIP = 22
 
 # Built-in number formats that show a date or a time.
 DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
@@ -54,8 +62,9 @@ def _texts(node) -> str:
 class _Book:
     """The parts of one workbook that its sheets need."""
 
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
+    def __init__(self, file, cells: bool = True):
+        """``file`` is open for reading at any place; without ``cells`` only the list of sheets is read."""
+        self.zip = zipfile.ZipFile(file)
         root = self._xml("xl/workbook.xml")
         targets = {
             r.get("Id"): r.get("Target") for r in self._xml("xl/_rels/workbook.xml.rels")
@@ -71,6 +80,8 @@ class _Book:
                 target = targets[link]
                 path = target.lstrip("/") if target.startswith("/") else "xl/" + target
                 self.sheets.append((node.get("name"), node.get("state", "visible"), path))
+        if not cells:
+            return
         names = set(self.zip.namelist())
         self.strings = []
         if "xl/sharedStrings.xml" in names:
@@ -177,22 +188,64 @@ def _sheet_records(book: _Book, path: str) -> Iterator[dict]:
         expected = at + 1
 
 
+def _wrong(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {problem}"
+
+
+def _book_records(path: str, book: _Book, wanted: set[int] | None = None) -> Iterator[dict]:
+    """Records of the sheets (of those at the wanted places)."""
+    for index, (name, state, part) in enumerate(book.sheets):
+        if wanted is not None and index not in wanted:
+            continue
+        fixed = {"source_path": path, "sheet_index": index, "sheet_name": name, "sheet_state": state}
+        try:
+            for record in _sheet_records(book, part):
+                yield {**fixed, **record}
+        except Exception as problem:  # a damaged sheet must not stop the others
+            yield {**fixed, "kind": "error", "error": _wrong(problem)}
+
+
 def _records(path: str, content: bytes | None, error: str | None = None) -> Iterator[dict]:
     if error is not None or content is None:
         yield {"kind": "error", "source_path": path, "error": error or "File could not be read"}
         return
     try:
-        book = _Book(content)
+        book = _Book(io.BytesIO(content))
     except Exception as problem:  # a damaged file must not stop the others
-        yield {"kind": "error", "source_path": path, "error": f"{type(problem).__name__}: {problem}"}
+        yield {"kind": "error", "source_path": path, "error": _wrong(problem)}
         return
-    for index, (name, state, part) in enumerate(book.sheets):
-        fixed = {"source_path": path, "sheet_index": index, "sheet_name": name, "sheet_state": state}
-        try:
-            for record in _sheet_records(book, part):
-                yield {**fixed, **record}
-        except Exception as problem:  # a damaged sheet must not stop the others
-            yield {**fixed, "kind": "error", "error": f"{type(problem).__name__}: {problem}"}
+    yield from _book_records(path, book)
+
+
+def _in_place(path: str, cells: bool = True) -> _Book:
+    """The workbook at a path, read where its parts lie."""
+    system, place = opened(path)
+    file = system.open_input_file(place)
+    if file.size() < SMALLEST_ZIP:
+        # Arrow's files have an error of their own for places before the start.
+        raise zipfile.BadZipFile("File is not a zip file")
+    return _Book(file, cells)
+
+
+def _listed(path: str, patterns: Sequence[str] | None) -> Iterator[tuple]:
+    """(path, sheet_index, error) of a file's sheets, those whose names match; a file that cannot be read has one row."""
+    try:
+        sheets = _in_place(path, cells=False).sheets
+    except Exception as problem:  # a damaged file must not stop the others
+        yield path, None, _wrong(problem)
+        return
+    for index, (name, _, _) in enumerate(sheets):
+        if patterns is None or any(fnmatchcase(name.lower(), p.lower()) for p in patterns):
+            yield path, index, None
+
+
+def _sheets_in_place(path: str, wanted: list[int]) -> Iterator[dict]:
+    """Records of some sheets of a file, read from their places in it."""
+    try:
+        yield from _book_records(path, _in_place(path), set(wanted))
+    except Exception as problem:  # a damaged file must not stop the others
+        for index in wanted:
+            yield {"kind": "error", "source_path": path, "sheet_index": index, "error": _wrong(problem)}
 
 
 def _frame(records: list[dict]) -> pd.DataFrame:
@@ -213,25 +266,73 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
     error = F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[dict] = []
-        for batch in batches:
-            for path, content, wrong in zip(batch["path"], batch["content"], batch["error"]):
-                for record in _records(path, content, wrong):
-                    waiting.append(record)
-                    if len(waiting) >= BATCH_ROWS:
-                        yield _frame(waiting)
-                        waiting = []
-        if waiting:
-            yield _frame(waiting)
+        found = (
+            record
+            for batch in batches
+            for path, content, wrong in zip(batch["path"], batch["content"], batch["error"])
+            for record in _records(path, content, wrong)
+        )
+        yield from _frames(found)
 
     return files.select("path", "content", error).mapInPandas(parse, RECORD_SCHEMA)
 
 
-def read_workbooks(spark: SparkSession, watch: WatchSettings) -> DataFrame:
+def _frames(records: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    records = iter(records)
+    while rows := list(islice(records, BATCH_ROWS)):
+        yield _frame(rows)
+
+
+def list_sheets(files: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """The sheets of files (``path``): ``path, sheet_index, error``; of a file only the list of its sheets is read.
+
+    ``names`` are glob patterns, in any letter case, for the names of the sheets wanted.
+    """
+    ship_package(files.sparkSession)
+    wanted = None if names is None else list(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [row for path in batch["path"] for row in _listed(path, wanted)]
+            frame = pd.DataFrame(rows, columns=["path", "sheet_index", "error"], dtype=object)
+            yield frame.astype({"sheet_index": "Int32"})
+
+    return files.select("path").mapInPandas(run, "path string, sheet_index int, error string")
+
+
+def parse_sheets(sheets: DataFrame) -> DataFrame:
+    """Records of listed sheets, each read by a task of its own.
+
+    A task opens the file and reads the shared strings and its sheet; nothing of the other sheets
+    is read, and no file goes through a shuffle.
+    """
+    ship_package(sheets.sparkSession)
+    kept = materialize(sheets)
+    # Sheets are dealt out one by one: a hash of so few rows would leave tasks idle.
+    numbered = number_within(kept, [], ["path", "sheet_index"], "_at")
+    tasks = max(1, min(kept.count(), MOST_TASKS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[dict]:
+            for batch in batches:
+                for path, index, wrong in zip(batch["path"], batch["sheet_index"], batch["error"]):
+                    if wrong is not None:
+                        yield {"kind": "error", "source_path": path, "error": wrong}
+                    else:
+                        yield from _sheets_in_place(path, [int(index)])
+
+        yield from _frames(found())
+
+    dealt = numbered.repartitionById(tasks, F.pmod(F.col("_at"), F.lit(tasks)).cast("int"))
+    return dealt.select("path", "sheet_index", "error").mapInPandas(run, RECORD_SCHEMA)
+
+
+def read_workbooks(spark: SparkSession, watch: WatchSettings, names: Sequence[str] | None = None) -> DataFrame:
     """Records of all ``.xlsx`` files of the folders; one beyond the size limit gives an error record.
 
     Files of other names are not opened, contents beyond the limit are not read, and
-    every file is parsed once: the records are kept.
+    every sheet (of those that match ``names``) is parsed once: the records are kept.
+    Where Arrow does not know the file system, whole files are read by Spark, one task a file.
     """
     reader = spark.read.format("binaryFile")
     if (glob := name_glob(watch.patterns)) is not None:
@@ -240,11 +341,17 @@ def read_workbooks(spark: SparkSession, watch: WatchSettings) -> DataFrame:
     name = file_name(F.col("path"))
     taken = listing.where(match_glob(name, watch.patterns) & F.lower(name).endswith(".xlsx"))
     limit = int(watch.max_file_mb * MEGABYTE)
-    small = taken.where(F.col("length") <= limit).select("path", "content", F.lit(None).cast("string").alias("error"))
-    large = taken.where(F.col("length") > limit).select(
-        "path", F.lit(None).cast("binary").alias("content"), too_large(F.col("length"), watch.max_file_mb).alias("error")
-    )
-    return materialize(parse_workbooks(small.unionByName(large)))
+    large = taken.where(F.col("length") > limit).select("path", too_large(F.col("length"), watch.max_file_mb).alias("error"))
+    small = taken.where(F.col("length") <= limit)
+    if all(known(folder) for folder in watch.folders):
+        refused = large.select("path", F.lit(None).cast("int").alias("sheet_index"), "error")
+        return materialize(parse_sheets(list_sheets(small.select("path"), names).unionByName(refused)))
+    read = small.select("path", "content", F.lit(None).cast("string").alias("error"))
+    refused = large.select("path", F.lit(None).cast("binary").alias("content"), "error")
+    records = parse_workbooks(read.unionByName(refused))
+    if names is not None:
+        records = records.where(F.col("sheet_name").isNull() | match_glob(F.col("sheet_name"), tuple(names)))
+    return materialize(records)
 
 
 def _table_id():

@@ -1,7 +1,11 @@
+from pyspark.sql import functions as F
+
 from gridsift.operators.confidence import confidence
 from gridsift.session import materialize
 from gridsift.settings import WatchSettings
-from gridsift.sources.workbook import read_workbooks, workbook_errors, workbook_grid, workbook_sheets
+from gridsift.sources.workbook import (
+    list_sheets, parse_sheets, parse_workbooks, read_workbooks, workbook_errors, workbook_grid, workbook_sheets,
+)
 from tests import xlsx
 
 
@@ -58,3 +62,33 @@ def test_size_limit_applies_before_reading(spark, tmp_path):
     watch = WatchSettings(folders=(str(tmp_path),), max_file_mb=0.0001)
     (record,) = read_workbooks(spark, watch).collect()
     assert record["kind"] == "error" and record["error"].startswith("File too large: 0.0MB > ") and record["source_path"].endswith("a.xlsx")
+
+
+def test_every_sheet_has_a_task(spark, tmp_path):
+    rows = [["ID", "Name"]] + [[("n", i), f"n{i}"] for i in range(4)]
+    xlsx.write(tmp_path / "many.xlsx", {f"S{i:02}": xlsx.table(rows) for i in range(20)})
+    listed = list_sheets(spark.createDataFrame([(f"file:{tmp_path}/many.xlsx",)], "path string"))
+    assert sorted(r["sheet_index"] for r in listed.collect()) == list(range(20))
+    records = parse_sheets(listed).withColumn("task", F.spark_partition_id())
+    sheets = records.groupBy("sheet_name").agg(F.collect_set("task").alias("tasks"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(sheets) == 20 and all(len(r["tasks"]) == 1 and r["n"] == 6 for r in sheets)
+    assert len({r["tasks"][0] for r in sheets}) == 20
+
+
+def test_both_ways_of_reading_agree(spark, tmp_path):
+    rows = [["ID", "Name"]] + [[("n", i), f"n{i}"] for i in range(4)]
+    for name in ("a b.xlsx", "ü%20.xlsx"):
+        xlsx.write(tmp_path / name, {"One": xlsx.table(rows), "Bad": xlsx.table(rows), "two": xlsx.table(rows[:2])}, broken=("Bad",))
+    (tmp_path / "fake.xlsx").write_text("not a workbook")
+    content = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    columns = ["kind", "source_path", "sheet_index", "sheet_name", "row_idx", "cells", "error"]
+    plain = parse_workbooks(content).select(columns).collect()
+    placed = _read(spark, tmp_path).select(columns).collect()
+    assert sorted(map(str, placed)) == sorted(map(str, plain)) and len(plain) > 15
+    wanted = read_workbooks(spark, WatchSettings(folders=(str(tmp_path),)), names=["T*"])
+    assert {r["sheet_name"] for r in wanted.collect()} == {"two", None}
+
+
+def test_a_folder_without_workbooks(spark, tmp_path):
+    (tmp_path / "note.txt").write_text("x")
+    assert _read(spark, tmp_path).count() == 0
