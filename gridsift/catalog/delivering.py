@@ -371,3 +371,32 @@ def workbook_facts(spark, sf_dir):
     return B.workbook_sheets(records).select(
         F.substring_index("source_path", "/", -1).alias("book"), F.col("sheet_name").alias("sheet"), "max_row", "max_column", "sheet_state"
     )
+
+
+_BOOK_LINES = Q.with_corpus(CLEANED, *_LINE_PARTS, query=f"SELECT output_name, line FROM ({_LINES})").replace(
+    "table_id || '.csv'", "'book_' || regexp_replace(table_id, '[^\\p{L}\\p{N}._\\- ]', '', 'g') || '.csv'")
+
+
+@query(_BOOK_LINES)
+def deliver_overwrite(spark, sf_dir):
+    """Two delivery runs into one folder without time stamps: the second replaces the files of the first."""
+    known = C.profile(sources_of(spark, sf_dir, CLEANED))
+    scores, path = C.confidence(known), scratch(spark, "deliver")
+    for headers in (False, True):
+        output = OutputSettings(include_timestamp=False, include_headers=headers)
+        W.deliver(known, scores, path, "20240131", F.lit("book"), F.col("table_id"), output)
+    lines = spark.read.option("basePath", path).schema("value string, output_name string").text(path)
+    return lines.select("output_name", F.col("value").alias("line"))
+
+
+@query(_BOOK_LINES.replace("SELECT output_name, line FROM", "SELECT output_name, 'in' || (length(output_name) % 2) AS folder, line FROM"))
+def deliver_by_source(spark, sf_dir):
+    """Tables of files in two folders, each delivered next to its file."""
+    known = C.profile(sources_of(spark, sf_dir, CLEANED))
+    path = scratch(spark, "beside")
+    name = F.length(sanitize_name(F.concat(F.lit("book_"), F.col("table_id"), F.lit(".csv")))) % 2
+    place = F.concat(F.lit(f"{path}/in"), name.cast("string"), F.lit("/book.xlsx"))
+    W.deliver_by_source(known, C.confidence(known), None, place, F.col("table_id"))
+    both = [f"{path}/in0", f"{path}/in1"]
+    frames = [spark.read.option("basePath", p).schema("value string, output_name string").text(p).withColumn("folder", F.lit(p[-3:])) for p in both]
+    return frames[0].unionByName(frames[1]).select("output_name", "folder", F.col("value").alias("line"))

@@ -144,6 +144,14 @@ def redact_texts(spark, sf_dir):
     return documents.select("doc_id", X.redact(F.col("text")).alias("logged"))
 
 
+@query("""
+SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS logged FROM documents""")
+def brief_results(spark, sf_dir):
+    """Log form of results: long ones cut."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return documents.select("doc_id", X.brief_result(F.col("text")).alias("logged"))
+
+
 @query("""
 SELECT event_id, CASE WHEN regexp_matches(lower(k), 'password|token|secret') OR suffix(lower(k), 'key') THEN '[REDACTED]'
   ELSE props END AS logged

@@ -2,6 +2,7 @@
 
 from gridsift.functions.parse import is_date, is_number, number_of, timestamp_of
 from gridsift.functions.text import (
+    brief_result,
     clean_text,
     contains_any,
     glob_to_regex,
@@ -20,7 +21,7 @@ from gridsift.functions.numbers import fixed, format_date, format_g6, format_num
 from gridsift.functions.timing import backoff
 
 __all__ = [
-    "backoff", "clean_text", "contains_any", "file_stem", "file_suffix", "fixed", "format_date",
+    "backoff", "brief_result", "clean_text", "contains_any", "file_stem", "file_suffix", "fixed", "format_date",
     "format_g6", "format_number", "glob_to_regex", "is_alpha_label", "is_date",
     "is_digit_label", "is_header_word", "is_number", "make_name", "match_glob",
     "null_if_token", "number_of", "redact", "redact_entry", "sanitize_name", "strip",

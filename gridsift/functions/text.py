@@ -116,6 +116,11 @@ def truncate(text: Column, limit: int = 200) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
+def brief_result(result: Column) -> Column:
+    """A function's result as it is logged: null stays null, more than 500 characters are cut."""
+    return truncate(result.cast("string"), 500)
+
+
 def redact(text: Column, limit: int = 200) -> Column:
     """A positional log value: hidden if it mentions a secret word or is ``key``."""
     hidden = contains_any(text, SECRET_WORDS) | (F.lower(text) == "key")
