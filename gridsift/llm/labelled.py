@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsift.session import ship_package
+
 
 def held_out(id_col: str) -> Column:
     """Rows that no model learns from: the CRC-32 of the id as text leaves 2 on division by 4."""
@@ -38,6 +40,7 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]):
         model = fit(pd.concat(whole, ignore_index=True)) if whole else None
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
+    ship_package(sample.sparkSession)
     row = sample.repartition(1).mapInPandas(run, "model binary").first()
     return pickle.loads(row["model"]) if row else None
 
