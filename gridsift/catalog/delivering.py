@@ -24,10 +24,8 @@ from gridsift.settings import OutputSettings, WatchSettings
 from gridsift.sources import workbook as B
 from gridsift.sources import writers as W
 
-# Worksheets delivered cell by cell: dates, numbers, blanks, repeated names, no header.
-CLEANED = tuple(s for s in DIRTY if s.table in ("customer", "orders", "supplier", "part")) + tuple(
-    s for s in SHEETS if s.table in ("supplier", "nation", "labels")
-)
+# Worksheets delivered cell by cell: all of them, long and multi-line texts too.
+CLEANED = SHEETS + DIRTY
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -132,28 +130,33 @@ def column_kinds(spark, sf_dir):
     return N.column_kinds(known, N.set_headers(known))
 
 
-_ROWS = "SELECT table_id, row_idx, string_agg(value, '|' ORDER BY col_idx) AS row_text FROM cleaned GROUP BY ALL"
+# Positions repeat in some tables, ranks do not.
+_ROWS = "SELECT table_id, row_idx, md5(string_agg(value, '|' ORDER BY col_idx)) AS row_md5 FROM cleaned GROUP BY table_id, row_idx, rank"
+
+
+def _row_digests(rows):
+    return rows.select("table_id", "row_idx", F.md5(F.array_join("cells", "|").cast("binary")).alias("row_md5"))
 
 
 @query(Q.with_corpus(CLEANED, TWO, NAMES, KINDS, CLEAN, query=_ROWS))
 def clean_cells(spark, sf_dir):
     """Cleaned rows of every worksheet, numbers lossless."""
     rows, _ = N.clean_tables(sources_of(spark, sf_dir, CLEANED))
-    return rows.select("table_id", "row_idx", F.array_join("cells", "|").alias("row_text"))
+    return _row_digests(rows)
 
 
 @query(Q.with_corpus(CLEANED, TWO, NAMES, KINDS, CLEAN_G6, query=_ROWS))
 def clean_cells_g6(spark, sf_dir):
     """Cleaned rows with six-digit numbers."""
     rows, _ = N.clean_tables(sources_of(spark, sf_dir, CLEANED), compat="g6")
-    return rows.select("table_id", "row_idx", F.array_join("cells", "|").alias("row_text"))
+    return _row_digests(rows)
 
 
 _QUOTE = "'\"' || replace({v}, '\"', '\"\"') || '\"'"
 _ACCEPTED = "accepted AS (SELECT table_id FROM judged WHERE round(overall, 12) >= 7e-1)"
 _LINES = f"""
 SELECT table_id || '.csv' AS output_name, row_idx, string_agg({_QUOTE.format(v='value')}, ',' ORDER BY col_idx) AS line
-FROM cleaned JOIN accepted USING (table_id) GROUP BY ALL
+FROM cleaned JOIN accepted USING (table_id) GROUP BY table_id, row_idx, rank
 UNION ALL
 SELECT table_id || '.csv', -1, string_agg({_QUOTE.format(v='unique_name')}, ',' ORDER BY col_idx)
 FROM unique_cols JOIN accepted USING (table_id) GROUP BY table_id"""
@@ -173,13 +176,21 @@ def delivery_lines(spark, sf_dir):
     return W.delivery_lines(*_accepted(spark, sf_dir))
 
 
-@query(Q.with_corpus(CLEANED, *_LINE_PARTS, query=f"SELECT output_name, line FROM ({_LINES})"))
+# The lines of the files: a text with line feeds in it takes several.
+_FILE_LINES = f"SELECT output_name, unnest(string_split(line, chr(10))) AS line FROM ({_LINES})"
+
+
+def _file_lines(spark, path):
+    lines = spark.read.option("basePath", path).option("lineSep", "\n").schema("value string, output_name string").text(path)
+    return lines.select("output_name", F.col("value").alias("line"))
+
+
+@query(Q.with_corpus(CLEANED, *_LINE_PARTS, query=_FILE_LINES))
 def write_tables(spark, sf_dir):
     """The delivered files, written and read back."""
     path = scratch(spark, "tables")
     W.write_tables(*_accepted(spark, sf_dir), path)
-    lines = spark.read.option("basePath", path).schema("value string, output_name string").text(path)
-    return lines.select("output_name", F.col("value").alias("line"))
+    return _file_lines(spark, path)
 
 
 @query("""
@@ -317,8 +328,8 @@ def archive_plan(spark, sf_dir):
 
 
 @query(Q.with_corpus(CLEANED, *_LINE_PARTS, query=f"""
-SELECT output_name, line FROM ({_LINES}) UNION ALL
-SELECT replace(output_name, '.csv', '_20240131.csv'), line FROM ({_LINES})""").replace(
+{_FILE_LINES} UNION ALL
+SELECT replace(output_name, '.csv', '_20240131.csv'), line FROM ({_FILE_LINES})""").replace(
     "table_id || '.csv'", "'book_' || regexp_replace(table_id, '[^\\p{L}\\p{N}._\\- ]', '', 'g') || '.csv'"))
 def deliver(spark, sf_dir):
     """Two delivery runs into one folder: the second keeps the files of the first."""
@@ -326,8 +337,7 @@ def deliver(spark, sf_dir):
     scores, path = C.confidence(known), scratch(spark, "deliver")
     for _ in range(2):
         W.deliver(known, scores, path, "20240131", F.lit("book"), F.col("table_id"))
-    lines = spark.read.option("basePath", path).schema("value string, output_name string").text(path)
-    return lines.select("output_name", F.col("value").alias("line"))
+    return _file_lines(spark, path)
 
 
 _SHEETS = """WITH placed AS (
@@ -373,7 +383,7 @@ def workbook_facts(spark, sf_dir):
     )
 
 
-_BOOK_LINES = Q.with_corpus(CLEANED, *_LINE_PARTS, query=f"SELECT output_name, line FROM ({_LINES})").replace(
+_BOOK_LINES = Q.with_corpus(CLEANED, *_LINE_PARTS, query=_FILE_LINES).replace(
     "table_id || '.csv'", "'book_' || regexp_replace(table_id, '[^\\p{L}\\p{N}._\\- ]', '', 'g') || '.csv'")
 
 
@@ -385,11 +395,10 @@ def deliver_overwrite(spark, sf_dir):
     for headers in (False, True):
         output = OutputSettings(include_timestamp=False, include_headers=headers)
         W.deliver(known, scores, path, "20240131", F.lit("book"), F.col("table_id"), output)
-    lines = spark.read.option("basePath", path).schema("value string, output_name string").text(path)
-    return lines.select("output_name", F.col("value").alias("line"))
+    return _file_lines(spark, path)
 
 
-@query(_BOOK_LINES.replace("SELECT output_name, line FROM", "SELECT output_name, 'in' || (length(output_name) % 2) AS folder, line FROM"))
+@query(_BOOK_LINES.replace("SELECT output_name, unnest", "SELECT output_name, 'in' || (length(output_name) % 2) AS folder, unnest"))
 def deliver_by_source(spark, sf_dir):
     """Tables of files in two folders, each delivered next to its file."""
     known = C.profile(sources_of(spark, sf_dir, CLEANED))
@@ -398,5 +407,5 @@ def deliver_by_source(spark, sf_dir):
     place = F.concat(F.lit(f"{path}/in"), name.cast("string"), F.lit("/book.xlsx"))
     W.deliver_by_source(known, C.confidence(known), None, place, F.col("table_id"))
     both = [f"{path}/in0", f"{path}/in1"]
-    frames = [spark.read.option("basePath", p).schema("value string, output_name string").text(p).withColumn("folder", F.lit(p[-3:])) for p in both]
-    return frames[0].unionByName(frames[1]).select("output_name", "folder", F.col("value").alias("line"))
+    frames = [_file_lines(spark, p).withColumn("folder", F.lit(p[-3:])) for p in both]
+    return frames[0].unionByName(frames[1]).select("output_name", "folder", "line")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridsift.catalog import query
 from gridsift.catalog import sql as Q
 from gridsift.catalog.corpora import DIRTY, SHEETS, sources_of
-from gridsift.catalog.shaping import MIXED
+from gridsift.catalog.shaping import CELLS
 from gridsift.operators import confidence as C
 from gridsift.operators import consistency as K
 from gridsift.operators import density as D
@@ -23,41 +23,41 @@ def _rounded(df, *names):
     return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
 
 
-@query(Q.with_corpus(MIXED, Q.COLUMNS, Q.CONSISTENCY, query="""
+@query(Q.with_corpus(CELLS, Q.COLUMNS, Q.CONSISTENCY, query="""
 SELECT table_id, col_idx, n, numbers, round(numeric_score, 6) AS numeric_score FROM graded"""))
 def numeric_consistency(spark, sf_dir):
-    scored = K.numeric_consistency(_known(spark, sf_dir, MIXED).columns)
+    scored = K.numeric_consistency(_known(spark, sf_dir, CELLS).columns)
     return _rounded(scored.select("table_id", "col_idx", "n", "numbers", "numeric_score"), "numeric_score")
 
 
-@query(Q.with_corpus(MIXED, Q.COLUMNS, Q.CONSISTENCY, query="""
+@query(Q.with_corpus(CELLS, Q.COLUMNS, Q.CONSISTENCY, query="""
 SELECT table_id, col_idx, n, dates, round(date_score, 6) AS date_score FROM graded"""))
 def date_consistency(spark, sf_dir):
-    scored = K.date_consistency(_known(spark, sf_dir, MIXED).columns)
+    scored = K.date_consistency(_known(spark, sf_dir, CELLS).columns)
     return _rounded(scored.select("table_id", "col_idx", "n", "dates", "date_score"), "date_score")
 
 
-@query(Q.with_corpus(MIXED, Q.COLUMNS, Q.CONSISTENCY, query="""
+@query(Q.with_corpus(CELLS, Q.COLUMNS, Q.CONSISTENCY, query="""
 SELECT table_id, col_idx, distinct_values, round(categorical_score, 6) AS categorical_score FROM graded"""))
 def categorical_consistency(spark, sf_dir):
-    known = _known(spark, sf_dir, MIXED)
+    known = _known(spark, sf_dir, CELLS)
     counts = distinct_counts(known.grid, known.columns.select("table_id", "col_idx"), known.sources)
     scored = K.categorical_consistency(known.columns.join(counts, ["table_id", "col_idx"]))
     return _rounded(scored.select("table_id", "col_idx", "distinct_values", "categorical_score"), "categorical_score")
 
 
-@query(Q.with_corpus(MIXED, Q.COLUMNS, Q.CONSISTENCY, query="""
+@query(Q.with_corpus(CELLS, Q.COLUMNS, Q.CONSISTENCY, query="""
 SELECT table_id, col_idx, round(column_score, 6) AS column_score FROM scored"""))
 def column_consistency(spark, sf_dir):
-    known = _known(spark, sf_dir, MIXED)
+    known = _known(spark, sf_dir, CELLS)
     scored = K.score_columns(known.grid, known.columns, known.sources)
     return _rounded(scored.select("table_id", "col_idx", "column_score"), "column_score")
 
 
-@query(Q.with_corpus(MIXED, Q.COLUMNS, Q.CONSISTENCY, query="""
+@query(Q.with_corpus(CELLS, Q.COLUMNS, Q.CONSISTENCY, query="""
 SELECT table_id, round(consistency_score, 6) AS consistency_score, consistency_reason FROM consistent"""))
 def table_consistency(spark, sf_dir):
-    known = _known(spark, sf_dir, MIXED)
+    known = _known(spark, sf_dir, CELLS)
     scored = K.table_consistency(K.score_columns(known.grid, known.columns, known.sources))
     return _rounded(scored.select("table_id", "consistency_score", "consistency_reason"), "consistency_score")
 
@@ -84,24 +84,24 @@ def _cells(known):
     return H.header_cells(known.grid, known.columns, known.top, known.sources)
 
 
-@query(Q.with_corpus(MIXED, Q.HEADERS, query="""
+@query(Q.with_corpus(CELLS, Q.HEADERS, query="""
 SELECT table_id, rank, col_idx, name, tenths FROM head_cells"""))
 def header_cells(spark, sf_dir):
-    return _cells(_known(spark, sf_dir, MIXED)).select("table_id", "rank", "col_idx", "name", "tenths")
+    return _cells(_known(spark, sf_dir, CELLS)).select("table_id", "rank", "col_idx", "name", "tenths")
 
 
-@query(Q.with_corpus(MIXED, Q.HEADERS, query="""
+@query(Q.with_corpus(CELLS, Q.HEADERS, query="""
 SELECT table_id, rank, CAST(points AS BIGINT) AS points, round(CAST(points AS DOUBLE) / (10 * ncols), 6) AS score
 FROM head_rows"""))
 def header_rows(spark, sf_dir):
-    rows = H.header_rows(_cells(_known(spark, sf_dir, MIXED)))
+    rows = H.header_rows(_cells(_known(spark, sf_dir, CELLS)))
     return _rounded(rows.select("table_id", "rank", "points", "score"), "score")
 
 
-@query(Q.with_corpus(MIXED, Q.HEADERS, query="""
+@query(Q.with_corpus(CELLS, Q.HEADERS, query="""
 SELECT table_id, rank, CAST(points AS BIGINT) AS points FROM best_rows"""))
 def best_header_row(spark, sf_dir):
-    rows = H.header_rows(_cells(_known(spark, sf_dir, MIXED)))
+    rows = H.header_rows(_cells(_known(spark, sf_dir, CELLS)))
     return H.best_header_row(rows).select("table_id", "rank", "points")
 
 
@@ -109,19 +109,19 @@ def _quality(known):
     return H.header_quality(H.best_header_row(H.header_rows(_cells(known))))
 
 
-@query(Q.with_corpus(MIXED, Q.HEADERS, query="""
+@query(Q.with_corpus(CELLS, Q.HEADERS, query="""
 SELECT table_id, has_headers, header_row, round(header_score, 6) AS header_score, header_reason FROM headed"""))
 def header_quality(spark, sf_dir):
-    return _rounded(_quality(_known(spark, sf_dir, MIXED)), "header_score")
+    return _rounded(_quality(_known(spark, sf_dir, CELLS)), "header_score")
 
 
-@query(Q.with_corpus(MIXED, Q.HEADERS, query="""
+@query(Q.with_corpus(CELLS, Q.HEADERS, query="""
 SELECT table_id, has_headers, round(header_score, 6) AS header_quality,
   coalesce((SELECT string_agg(name, '|' ORDER BY col_idx) FROM head_cells c
     WHERE c.table_id = h.table_id AND h.has_headers AND c.rank = h.header_row), '') AS column_names
 FROM headed h"""))
 def header_names(spark, sf_dir):
-    known = _known(spark, sf_dir, MIXED)
+    known = _known(spark, sf_dir, CELLS)
     cells = _cells(known)
     quality = H.header_quality(H.best_header_row(H.header_rows(cells)))
     names = H.header_names(cells, quality).withColumn("column_names", F.array_join("column_names", "|"))

@@ -15,7 +15,6 @@ from gridsift.operators.confidence import profile
 CELLS = SHEETS + DIRTY
 # Rows are put together again by position, which repeats in lineitem.
 PLACED = tuple(s for s in CELLS if s.table != "lineitem")
-MIXED = tuple(s for s in SHEETS if s.table in ("documents", "labels", "supplier", "nation")) + DIRTY
 
 
 def _table(spark, sf_dir, name):
@@ -115,12 +114,12 @@ def drop_empty_rows(spark, sf_dir):
     )
 
 
-@query(Q.with_corpus(MIXED, Q.TABLES, query="""
+@query(Q.with_corpus(CELLS, Q.TABLES, query="""
 SELECT table_id, nrows AS "rows", ncols AS "columns", nrows * ncols AS total_cells,
   CAST(filled AS BIGINT) AS non_empty_cells, CAST(nrows * ncols - filled AS BIGINT) AS empty_cells,
   round(CAST(filled AS DOUBLE) / (nrows * ncols), 6) AS density FROM tabs"""))
 def table_shape(spark, sf_dir):
-    tables = P.table_counts(grid_of(spark, sf_dir, MIXED))
+    tables = P.table_counts(grid_of(spark, sf_dir, CELLS))
     return P.shape(tables).withColumn("density", F.round("density", 6))
 
 
@@ -143,12 +142,12 @@ def value_freq(spark, sf_dir):
     return P.value_freq(grid_of(spark, sf_dir, DIRTY))
 
 
-@query(Q.with_corpus(MIXED, query="""
+@query(Q.with_corpus(CELLS, query="""
 SELECT table_id, col_idx, count(DISTINCT value) AS distinct_values FROM cells
 GROUP BY table_id, col_idx HAVING count(value) > 0"""))
 def distinct_counts(spark, sf_dir):
     """Exact distinct values of every column, whole texts included."""
-    known = profile(sources_of(spark, sf_dir, MIXED))
+    known = profile(sources_of(spark, sf_dir, CELLS))
     return P.distinct_counts(known.grid, known.columns.select("table_id", "col_idx"), known.sources)
 
 
@@ -170,10 +169,10 @@ _NTH = """nth_values AS (
 )"""
 
 
-@query(Q.with_corpus(MIXED, _NTH, query="SELECT table_id, col_idx, nth, value FROM nth_values WHERE nth <= 10"))
+@query(Q.with_corpus(CELLS, _NTH, query="SELECT table_id, col_idx, nth, value FROM nth_values WHERE nth <= 10"))
 def first_values(spark, sf_dir):
     """The first ten values of every column, however far down they are."""
-    known = profile(sources_of(spark, sf_dir, MIXED))
+    known = profile(sources_of(spark, sf_dir, CELLS))
     return P.first_values(known.grid, 10, known.columns, known.top, known.sources).select("table_id", "col_idx", "nth", "value")
 
 
@@ -185,11 +184,11 @@ _KINDS = f"""kinds AS (
 
 
 def _types(spark, sf_dir):
-    known = profile(sources_of(spark, sf_dir, MIXED))
+    known = profile(sources_of(spark, sf_dir, CELLS))
     return P.detect_types(known.grid, known.columns, known.dense, known.sources)
 
 
-@query(Q.with_corpus(MIXED, _NTH, _KINDS, query="SELECT * FROM kinds"))
+@query(Q.with_corpus(CELLS, _NTH, _KINDS, query="SELECT * FROM kinds"))
 def detect_types(spark, sf_dir):
     return _types(spark, sf_dir)
 
@@ -198,7 +197,7 @@ def _listed(kind: str) -> str:
     return f"coalesce(string_agg(CAST(col_idx AS VARCHAR), ',' ORDER BY col_idx) FILTER (WHERE kind = '{kind}'), '')"
 
 
-@query(Q.with_corpus(MIXED, _NTH, _KINDS, query=f"""
+@query(Q.with_corpus(CELLS, _NTH, _KINDS, query=f"""
 SELECT table_id, {_listed('numeric')} AS numeric_columns, {_listed('date')} AS date_columns, {_listed('text')} AS text_columns,
   count(*) FILTER (WHERE kind = 'numeric') AS numeric_count, count(*) FILTER (WHERE kind = 'date') AS date_count,
   count(*) FILTER (WHERE kind = 'text') AS text_count FROM kinds GROUP BY table_id"""))
@@ -210,7 +209,7 @@ def type_census(spark, sf_dir):
     return lists
 
 
-@query(Q.with_corpus(MIXED, _NTH, _KINDS, query="""
+@query(Q.with_corpus(CELLS, _NTH, _KINDS, query="""
 SELECT table_id, string_agg(col_idx || '=' || kind, ',' ORDER BY CAST(col_idx AS VARCHAR)) AS column_types
 FROM kinds GROUP BY table_id"""))
 def column_types(spark, sf_dir):
