@@ -135,9 +135,9 @@ def _typed(column: Column) -> str:
 def sources_of(spark: SparkSession, sf_dir: str, sheets: tuple[Sheet, ...]) -> list[GridSource]:
     """The corpus as sources, which can be read column by column."""
     sources = []
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in dict.fromkeys(s.table for s in sheets)}
     for sheet in sheets:
-        frame = spark.read.parquet(f"{sf_dir}/{sheet.table}.parquet")
-        frame = frame.selectExpr(
+        frame = tables[sheet.table].selectExpr(
             f"{sheet.table_id} AS _table",
             f"CAST({sheet.position} AS BIGINT) AS _position",
             *[f"{_typed(c)} AS c{i}" for i, c in enumerate(sheet.columns)],

@@ -33,29 +33,43 @@ def count_filled(cells: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cells], F.lit(0))
 
 
-def cell_text(column: Column, kind: T.DataType, double_scale: int | None = None) -> Column:
-    """A typed value as cell text (no header, no type kept)."""
+def cell_text(name: str, kind: T.DataType, double_scale: int | None = None) -> str:
+    """The SQL expression of a typed column as cell text (no header, no type kept)."""
+    column = "`" + name.replace("`", "``") + "`"
+    text = f"CAST({column} AS STRING)"
     if isinstance(kind, T.StringType):
         return column
     if isinstance(kind, T.TimestampNTZType):
-        return F.substring(column.cast("string"), 1, 19)
+        return f"substring({text}, 1, 19)"
     if isinstance(kind, T.TimestampType):
-        return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+        return f"date_format({column}, 'yyyy-MM-dd HH:mm:ss')"
     if isinstance(kind, (T.DoubleType, T.FloatType)) and double_scale is not None:
         # Values that no decimal holds (very large, infinite) keep their own text; not-a-number is empty.
-        exact = column.try_cast(f"decimal(18,{double_scale})").cast("string")
-        return F.coalesce(exact, F.when(~F.isnan(column), column.cast("string")))
+        exact = f"CAST(try_cast({column} AS DECIMAL(18,{double_scale})) AS STRING)"
+        return f"coalesce({exact}, CASE WHEN NOT isnan({column}) THEN {text} END)"
     if isinstance(kind, T.BooleanType):
-        return F.when(column, "True").when(~column, "False")
+        return f"CASE WHEN {column} THEN 'True' WHEN NOT {column} THEN 'False' END"
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(column)
-    return column.cast("string")
+        return f"to_json({column})"
+    return text
+
+
+def _literal(text: str | None) -> str:
+    """A text as SQL, whatever signs it holds."""
+    return "CAST(NULL AS STRING)" if text is None else f"CAST(X'{text.encode().hex()}' AS STRING)"
+
+
+def _free_name(stem: str, taken: Collection[str]) -> str:
+    """A column name that a frame does not have."""
+    while stem in {t.lower() for t in taken}:
+        stem += "_"
+    return stem
 
 
 def scan_raw(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS, double_scale: int | None = None) -> DataFrame:
     """Every column as text, empty markers as null."""
     return df.select([
-        null_if_token(cell_text(F.col(f"`{f.name}`"), f.dataType, double_scale), tokens).alias(f.name)
+        null_if_token(F.expr(cell_text(f.name, f.dataType, double_scale)), tokens).alias(f.name)
         for f in df.schema.fields
     ])
 
@@ -93,10 +107,12 @@ class GridSource:
         place = F.expr(self.position) if isinstance(self.position, str) else self.position
         kept = range(len(columns)) if keep is None else sorted(keep)
         rows = self.df if upto is None else self.df.where(place <= upto - (1 if self.header else 0))
-        texts = rows.select(
-            name.alias("table_id"),
-            (place.cast("long") + (1 if self.header else 0)).alias("row_idx"),
-            *[cell_text(F.col(f"`{columns[i]}`"), fields[columns[i]], self.double_scale).alias(f"c{i}") for i in kept],
+        # The cells are said in SQL: a call for each expression of each column takes longer than planning them all.
+        table_key, row_key = _free_name("_table_key", fields), _free_name("_row_key", fields)
+        texts = rows.select("*", name.alias(table_key), place.cast("long").alias(row_key)).selectExpr(
+            f"{table_key} AS table_id",
+            f"{row_key} + {1 if self.header else 0} AS row_idx",
+            *[f"{cell_text(columns[i], fields[columns[i]], self.double_scale)} AS c{i}" for i in kept],
         )
         listed = ", ".join("'" + t.replace("'", "\\'") + "'" for t in self.tokens)
         raw = texts.selectExpr(
@@ -129,11 +145,11 @@ class GridSource:
             tables = self.df.sparkSession.range(0, 1, 1, 1).select(F.lit(self.table_id).alias("table_id"))
         else:
             tables = self.df.select(self.table_id.alias("table_id")).distinct()
-        return tables.select(
+        return tables.selectExpr(
             "table_id",
-            F.lit(HEADER_POSITION).cast("long").alias("row_idx"),
-            F.array(*[F.lit(n).cast("string") for n in names]).alias("cells"),
-            F.lit(sum(n is not None for n in names)).alias("filled"),
+            f"CAST({HEADER_POSITION} AS BIGINT) AS row_idx",
+            f"array({', '.join(map(_literal, names))}) AS cells",
+            f"{sum(n is not None for n in names)} AS filled",
         )
 
 
