@@ -132,3 +132,20 @@ def test_sample_is_reproducible(spark):
     nulls = spark.sql("SELECT cast(null AS bigint) AS id")
     assert sample_rows(nulls, "id", 1.0).count() == 1
     assert big.select(F.max("id")).first()[0] == 4999
+
+
+def test_ordered_plans_stay_small_with_many_parts(spark):
+    """The place among the cuts is said once: the plan does not grow with the number of parts."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        df = spark.range(4000, numPartitions=2).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 7 == 0).alias("stop"))
+        for made in (
+            number_within(df, ["k"], ["id"], "n"), number_since(df, ["k"], ["id"], "stop", "n"),
+            running_max_before(df, ["k"], ["id"], "id", "n"), next_value(df, ["k"], ["id"], "id", "n"),
+        ):
+            assert len(made._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+        got = {(r["k"], r["id"]): r["n"] for r in number_within(df, ["k"], ["id"], "n").collect()}
+        assert got == {(i % 3, i): i // 3 + 1 for i in range(4000)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
