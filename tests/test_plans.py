@@ -122,6 +122,15 @@ def test_join_small_both_ways(skewed, spark, how, limit):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_beyond_the_limit_broadcasts_nothing(spark, tmp_path, how):
+    """The files of the small side are tiny, and so is Spark's estimate of it."""
+    spark.range(1000).select("id", F.lit("x").alias("w")).write.parquet(str(tmp_path / "small"))
+    joined = join_small(spark.range(3000), spark.read.parquet(str(tmp_path / "small")), ["id"], how, 0)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == {"inner": 1000, "left": 3000, "left_semi": 1000, "left_anti": 2000}[how]
+
+
 def test_sample_is_reproducible(spark):
     from gridsift.operators.grid import sample_rows
 
