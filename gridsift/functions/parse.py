@@ -25,9 +25,27 @@ DATE_RE = (
 )
 
 
+def _spelled_number(text: Column) -> Column:
+    """The spelling of a number.  What starts with a sign beyond the digits, as words do, needs no pattern."""
+    return (text < ":") & text.rlike(NUMBER_RE)
+
+
+def _spelled_date(text: Column) -> Column:
+    """One of the spellings of a date.
+
+    Most cells lack what all spellings of a kind have: a slash or comma, or a year in front (behind whitespace, which
+    sorts before ``!``) and then a dash or nothing but 4 or 8 digits and whitespace.  They need no pattern.
+    """
+    before, behind = text < "!", F.substring(text, -1, 1) < "!"
+    digits = ~text.contains(".") & (F.length(text).isin(4, 8) | before | behind)
+    year = text.startswith("1") | text.startswith("2") | before
+    likely = (year & (text.contains("-") | digits)) | text.contains("/") | text.contains(",")
+    return likely & text.rlike(DATE_RE)
+
+
 def number_of(text: Column) -> Column:
     """The value as a finite double, else null."""
-    value = F.when(text.rlike(NUMBER_RE), strip(text).try_cast("double"))
+    value = F.when(_spelled_number(text), strip(text).try_cast("double"))
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
@@ -39,7 +57,7 @@ def is_number(text: Column) -> Column:
     """
     short = ~text.contains("e") & ~text.contains("E") & (F.length(text) < 300)
     finite = F.abs(text.try_cast("double")) < F.lit(float("inf"))
-    return F.when(text.rlike(NUMBER_RE), short | finite).otherwise(F.lit(False))
+    return F.when(_spelled_number(text), short | finite).otherwise(F.lit(False))
 
 
 def timestamp_of(text: Column) -> Column:
@@ -60,7 +78,7 @@ def timestamp_of(text: Column) -> Column:
         .when(text.contains(","), F.try_to_date(strip(text), "MMM d, yyyy").cast(kind))
         .otherwise(F.coalesce(iso.try_cast(kind), day_first.try_cast(kind)))
     )
-    return F.when(text.rlike(DATE_RE), parsed)
+    return F.when(_spelled_date(text), parsed)
 
 
 def is_date(text: Column) -> Column:

@@ -97,3 +97,21 @@ def test_backoff(spark):
     plain = [r["s"] for r in df.select(X.backoff(F.col("id")).alias("s")).collect()]
     assert plain == [5.0, 5.0, 10.0, 20.0, 40.0, 60.0, 60.0]
     assert df.select(X.backoff(F.col("id"), retry).alias("s")).first()["s"] == 70.0
+
+
+def test_cells_are_ruled_out_without_changing_what_is_a_number_or_date(spark):
+    """The quick tests before the patterns drop nothing the patterns take, and plain cells meet no pattern at all."""
+    from gridsift.functions import parse
+
+    stems = [
+        "2024", "1678", "2262", "20240229", "20240230", "2024-02-29", "2024-02-29T10:30:05.123", "2024/2/9", "2/9/2024", "Feb 9, 2024",
+        "12.5", "-12.5", "+3", ".5", "5.", "1e5", "1e999", "12345", "123", "1999.", "3024-01-01", "word", "a,b", "a/b", "", "-", ".",
+        "12:30", "99999999", "1-2", "\u0661\u0662", "\u20ac5", "10 20",
+    ]
+    signs = ["", " ", "\t", "\n", "\x0b", "\f", "\r", "  \t", "\x01", "\xa0", "!", "x"]
+    rows = [(a + stem + b,) for stem in stems for a in signs for b in signs] + [(None,)]
+    df = spark.createDataFrame(rows, "v string")
+    v = F.col("v")
+    wrong = ~parse._spelled_number(v).eqNullSafe(v.rlike(parse.NUMBER_RE)) | ~parse._spelled_date(v).eqNullSafe(v.rlike(parse.DATE_RE))
+    assert df.where(wrong).collect() == []
+    assert df.where(v.rlike(parse.DATE_RE)).count() > 200 and df.where(v.rlike(parse.NUMBER_RE)).count() > 200
