@@ -8,12 +8,13 @@ it, so results are the same.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +24,8 @@ from gridsift.settings import RetrySettings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Rows of a path that are held before they are looked through, or told at once.
+HELD = 10_000
 
 
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
@@ -126,7 +129,8 @@ def changed_events(events: DataFrame, path: str, order: Sequence[str], mtime: st
     return found.select("row.*")
 
 
-RETRY_ROWS = "path string, kind string, ts_us long, event_id long, attempt int, exhausted boolean, due_us long"
+#: Rows of one path and kind, side by side: a path tells all it has in few rows.
+RETRY_LISTS = "path string, kind string, ts_us array<long>, event_id array<long>, attempt array<int>, due_us array<long>"
 
 
 def waits_us(attempts: np.ndarray, retry: RetrySettings) -> np.ndarray:
@@ -149,55 +153,52 @@ class _Retries(StatefulProcessor):
         self.handle = handle
         self.failed = handle.getValueState("failed", "attempt int, timer long, due long")
 
-    def _told(self, path: str, kind, ts, event_id, attempt, due) -> pd.DataFrame:
-        attempt = np.asarray(attempt, np.int32)
-        spent = attempt >= self.retry.max_attempts
-        due = [None if s or d is None else int(d) for s, d in zip(spent, due, strict=True)]
-        return pd.DataFrame({
-            "path": path, "kind": kind, "ts_us": pd.array(ts, "Int64"), "event_id": pd.array(event_id, "Int64"), "attempt": attempt,
-            "exhausted": spent, "due_us": pd.array(due, "Int64"),
-        })
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0] is None:
             return
-        held = pd.concat([r[["ts", "id", "success"]] for r in rows], ignore_index=True).sort_values(["ts", "id"], kind="stable")
-        attempt, timer, due = self.failed.get() if self.failed.exists() else (0, -1, -1)
-        outcome = held["success"].to_numpy()
-        run, now = np.cumsum(outcome == 1), outcome == 0
+        at, ids, said = array("q"), array("q"), array("b")
+        for row in rows:
+            at.append(row["ts"])
+            ids.append(row["id"])
+            said.append(row["success"])
+        at, ids, outcome = np.frombuffer(at, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(said, np.int8)
+        place = np.lexsort((ids, at))
+        at, ids, outcome = at[place], ids[place], outcome[place]
+        attempt, timer, due = known = self.failed.get() or (0, -1, -1)
         # Failures count on from the state up to the first success, and from 0 after each success.
-        failures = held[now]
-        number = failures.groupby(run[now]).cumcount().to_numpy() + 1 + np.where(run[now] == 0, attempt, 0)
-        ts = failures["ts"].to_numpy()
+        now, failures = outcome == 0, np.cumsum(outcome == 0)
+        number = (failures - np.maximum.accumulate(np.where(outcome == 1, failures, -attempt)))[now]
+        ts, ids = at[now], ids[now]
         dues = ts + waits_us(number, self.retry)
-        if len(failures):
-            yield self._told(key[0], "failed", ts, failures["id"].to_numpy(), number, dues)
+        for n in range(0, len(ts), HELD):
+            some = slice(n, n + HELD)
+            yield Row(path=key[0], kind="failed", ts_us=ts[some].tolist(), event_id=ids[some].tolist(), attempt=number[some].tolist(), due_us=dues[some].tolist())
         if (outcome >= 0).any():
-            if timer >= 0:
-                self.handle.deleteTimer(timer)
             last = outcome[outcome >= 0][-1]
             attempt, due = (0, -1) if last == 1 else (int(number[-1]), int(dues[-1]))
-            timer = -1
-            if 0 < attempt < self.retry.max_attempts:
-                # Rounded up: a timer has milliseconds.
-                timer = -(-due // 1000)
-                self.handle.registerTimer(timer)
-            self.failed.update((attempt, timer, due))
+            # Rounded up: a timer has milliseconds.
+            wanted = -(-due // 1000) if 0 < attempt < self.retry.max_attempts else -1
+            if timer >= 0 and timer != wanted:
+                self.handle.deleteTimer(timer)
+            if wanted >= 0 and timer != wanted:
+                self.handle.registerTimer(wanted)
+            if (attempt, wanted, due) != known:
+                self.failed.update((attempt, wanted, due))
         elif attempt < self.retry.max_attempts and (outcome < 0).any():
             # A new input: tried at once, and a waiting failure is not tried twice.
-            asked = held[outcome < 0].iloc[-1]
             if timer >= 0:
                 self.handle.deleteTimer(timer)
                 self.failed.update((attempt, -1, due))
-            yield self._told(key[0], "try", [self._now(timerValues, int(asked["ts"]))], [None], [attempt], [None])
+            yield self._asked(key[0], self._now(timerValues, int(at[-1])), attempt, None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.failed.exists():
-            return
-        attempt, timer, due = self.failed.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        attempt, timer, due = self.failed.get() or (0, -1, -1)
         if timer == expiredTimerInfo.getExpiryTimeInMs():
             self.failed.update((attempt, -1, due))
-            yield self._told(key[0], "try", [self._now(timerValues, due)], [None], [attempt], [due])
+            yield self._asked(key[0], self._now(timerValues, due), attempt, due)
+
+    def _asked(self, path: str, ts: int, attempt: int, due: int | None) -> Row:
+        return Row(path=path, kind="try", ts_us=[ts], event_id=[None], attempt=[attempt], due_us=[due])
 
 
 def retry_events(outcomes: DataFrame, path: str, ts: str, event_id: str, success: str, retry: RetrySettings = RetrySettings(), late_seconds: float = 1.0) -> DataFrame:
@@ -219,7 +220,11 @@ def retry_events(outcomes: DataFrame, path: str, ts: str, event_id: str, success
         F.coalesce(F.col(event_id).cast("long"), F.lit(0)).alias("id"), F.coalesce(F.col(success).cast("int"), F.lit(-1)).alias("success"),
         F.col(ts).cast("timestamp").alias("event_time"),
     )
-    return rows.withWatermark("event_time", f"{late_seconds} seconds").groupBy("path").transformWithStateInPandas(_Retries(retry, int(late_seconds * 1_000_000)), RETRY_ROWS, "append", "eventTime")
+    timed = rows.withWatermark("event_time", f"{late_seconds} seconds")
+    found = timed.groupBy("path").transformWithState(_Retries(retry, int(late_seconds * 1_000_000)), RETRY_LISTS, "append", "eventTime")
+    told = found.select("path", "kind", F.inline(F.arrays_zip("ts_us", "event_id", "attempt", "due_us")))
+    spent = F.col("attempt") >= retry.max_attempts
+    return told.select("path", "kind", "ts_us", "event_id", "attempt", spent.alias("exhausted"), F.when(~spent, F.col("due_us")).alias("due_us"))
 
 
 OUTCOME_SCHEMA = "path string, ts timestamp, event_id bigint, success boolean"
