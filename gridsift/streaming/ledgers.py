@@ -50,21 +50,42 @@ def rising(paths: np.ndarray, order: Sequence[np.ndarray], values: np.ndarray) -
     return place[(before.isna() | (rows["value"] > before)).to_numpy()]
 
 
-def _thinned(orders: int) -> Callable:
-    """Leaves out what an earlier row of the same batch of rows already tops; it could never be a change."""
+def _thinned(orders: int, most_bytes: int = 32 << 20) -> Callable:
+    """Leaves out what an earlier row of the same stretch of rows already tops; it could never be a change."""
+
+    def thin(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        code = pd.factorize(rows.column(0).to_pandas(), use_na_sentinel=False)[0]
+        order = [rows.column(1 + k).fill_null(np.iinfo(np.int64).min).to_numpy() for k in range(orders)]
+        values = rows.column(1 + orders).cast(pa.float64()).to_numpy()
+        yield from rows.take(pa.array(np.sort(rising(code, order, values)))).to_batches(max_chunksize=HELD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = pd.factorize(batch.column(0).to_pandas(), use_na_sentinel=False)[0]
-            order = [batch.column(1 + k).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False) for k in range(orders)]
-            values = batch.column(1 + orders).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            yield batch.take(pa.array(np.sort(rising(code, order, values))))
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most_bytes:
+                yield from thin(held)
+                held, size = [], 0
+        if held:
+            yield from thin(held)
 
     return run
 
 
+def _risen(rows: list[Row], orders: int) -> list[Row]:
+    """The rows of one path, in order, whose value exceeds all earlier ones (null: no value)."""
+    low, kept, top = np.iinfo(np.int64).min, [], None
+    for row in sorted(rows, key=lambda r: [low if (o := r[f"o{k}"]) is None else o for k in range(orders)]):
+        if top is None or (row["value"] is not None and row["value"] > top):
+            kept.append(row)
+            top = row["value"]
+    return kept
+
+
 class _Changes(StatefulProcessor):
     """State of a path: its newest value, forgotten ``keep_ms`` after its newest event (0: never)."""
 
@@ -75,30 +96,32 @@ class _Changes(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getValueState("newest", "value double, timer long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0] is None:
             return
-        held, last = None, -1
-        for some in rows:
-            last = max(last, int(some["at"].max()))
-            held = some if held is None else pd.concat([held, some], ignore_index=True)
-            order = [held[f"o{k}"].fillna(np.iinfo(np.int64).min).to_numpy() for k in range(self.orders)]
-            held = held.iloc[rising(np.zeros(len(held), np.int64), order, held["value"].to_numpy(float))].reset_index(drop=True)
-        value, timer = self.newest.get() if self.newest.exists() else (None, -1)
-        if value is not None:
-            held = held[held["value"].to_numpy(float) > value]
-        top = held["value"].max()
-        value = value if pd.isna(top) else float(top)
+        value, timer = known = self.newest.get() or (None, -1)
+        held, most, last = [], HELD, -1
+        for row in rows:
+            last = max(last, row["at"])
+            if value is None or (row["value"] is not None and row["value"] > value):
+                held.append(row)
+            if len(held) >= most:
+                held = _risen(held, self.orders)
+                most = 2 * len(held) + HELD
+        held = _risen(held, self.orders)
+        if held and held[-1]["value"] is not None:
+            value = held[-1]["value"]
         if self.keep_ms and last // 1000 + self.keep_ms > timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             timer = last // 1000 + self.keep_ms
             self.handle.registerTimer(timer)
-        self.newest.update((value, timer))
-        if len(held):
-            yield held[["row"]]
+        if (value, timer) != known:
+            self.newest.update((value, timer))
+        for row in held:
+            yield Row(row=row["row"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.newest.clear()
         return iter(())
 
@@ -119,13 +142,13 @@ def changed_events(events: DataFrame, path: str, order: Sequence[str], mtime: st
     # No underscores in front of these names: rows of state come as named tuples.
     rows = events.where(F.col(path).isNotNull() & F.col(ts).isNotNull()).select(
         F.col(path).alias("path"), *[_number(F.col(c), kinds[c]).cast("long").alias(f"o{k}") for k, c in enumerate(order)],
-        _number(F.col(mtime), kinds[mtime]).cast("double").alias("value"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
+        F.nanvl(_number(F.col(mtime), kinds[mtime]).cast("double"), F.lit(None)).alias("value"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
         F.struct(*events.columns).alias("row"),
     )
     few = rows.mapInArrow(_thinned(len(order)), rows.schema)
     few = few.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", f"{late_seconds} seconds")
     schema = T.StructType([T.StructField("row", events.schema)])
-    found = few.groupBy("path").transformWithStateInPandas(_Changes(len(order), keep_days * DAY_MS), schema, "append", "eventTime")
+    found = few.groupBy("path").transformWithState(_Changes(len(order), keep_days * DAY_MS), schema, "append", "eventTime")
     return found.select("row.*")
 
 
