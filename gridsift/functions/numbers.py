@@ -117,16 +117,21 @@ def plain_g6(text: Column) -> Column:
     )
 
 
-@arrow_udf(T.ArrayType(T.StringType()))
-def _six_digit_lists(rows: pa.Array) -> pa.Array:
+# Cells that go to Python travel as one text a row.  For lists Spark measures the whole batch again with every row it adds.
+_BETWEEN = "|"
+
+
+@arrow_udf(T.StringType())
+def _six_digit_rows(rows: pa.Array) -> pa.Array:
     if rows.null_count == len(rows):
         return rows
-    return pa.array([row and [text and f"{float(text):g}" for text in row] for row in rows.to_pylist()], pa.list_(pa.string()))
+    said = (row and row.split(_BETWEEN) for row in rows.to_pylist())
+    return pa.array([cells and _BETWEEN.join(text and f"{float(text):g}" for text in cells) for cells in said], pa.string())
 
 
 def _left_over(texts: Column) -> Column:
-    """Texts that go to Python (null for the other cells), or null for the whole row if there are none."""
-    return F.when(F.exists(texts, lambda c: c.isNotNull()), texts)
+    """Texts that go to Python (null for the other cells) in one, or null for the whole row if there are none."""
+    return F.when(F.exists(texts, lambda c: c.isNotNull()), F.array_join(texts, _BETWEEN, ""))
 
 
 def g6_cells(cells: Column, kinds: Column) -> Column:
@@ -134,7 +139,8 @@ def g6_cells(cells: Column, kinds: Column) -> Column:
     plain = F.zip_with(cells, kinds, lambda c, k: F.when(k == "number", plain_g6(F.coalesce(c, F.lit("")))).otherwise(c))
     left = F.zip_with(cells, kinds, lambda c, k: F.when((k == "number") & plain_g6(c).isNull(), c))
     # A row of which nothing is left over has no list.
-    return F.coalesce(F.zip_with(plain, _six_digit_lists(_left_over(left)), lambda c, done: F.coalesce(c, done)), plain)
+    done = F.split(_six_digit_rows(_left_over(left)), "[|]")
+    return F.coalesce(F.zip_with(plain, done, lambda c, d: F.coalesce(c, d)), plain)
 
 
 def g6_columns(
@@ -150,9 +156,10 @@ def g6_columns(
     settled = rows.selectExpr("*", *[f"CASE WHEN {k} = 'number' THEN {plain(n)} ELSE {n} END AS {n}_plain" for n, k in some])
     left = ", ".join(f"CASE WHEN {n}_plain IS NULL THEN {n} END" for n, _ in some)
     any_left = " OR ".join(f"{n}_plain IS NULL" for n, _ in some)
-    done = settled.withColumn("_done", _six_digit_lists(F.expr(f"CASE WHEN {any_left} THEN array({left}) END")))
+    packed = f"CASE WHEN {any_left} THEN array_join(array({left}), '{_BETWEEN}', '') END"
+    done = settled.withColumn("_done", _six_digit_rows(F.expr(packed)))
     out = {n: f"{n}_g6" for n, _ in some}
-    told = [f"coalesce({n}_plain, get(_done, {i})) AS {out[n]}" for i, (n, _) in enumerate(some)]
+    told = [f"coalesce({n}_plain, get(split(_done, '[|]'), {i})) AS {out[n]}" for i, (n, _) in enumerate(some)]
     return done.selectExpr("*", *told), [out.get(n, n) for n in names]
 
 
